@@ -4,13 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.near_duplicates import NearDuplicates
+from weftline.llm.shared_spans import same_path, shared_spans
 from weftline.sources.tables import table
 
 
+def _clean(numbered: Column) -> Column:
+    """A chunk's text without its line numbers."""
+    return F.regexp_replace(numbered, "(^|\n)[0-9]+: ", "$1")
+
+
+def _spans(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(table(spark, folder, "project_files_hybrid"), "row_id", "documents", same_path(F.col("path")), span=200, numbered=True)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that share 200 characters or more with a chunk of another path."""
+    return _spans(spark, folder).select(F.col("id").alias("row_id"))
+
+
+def p1_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk with its passages found elsewhere and their amount."""
+    chunks = table(spark, folder, "project_files_hybrid").select("row_id", _clean(F.col("documents")).alias("clean"))
+    out = chunks.join(_spans(spark, folder).withColumnRenamed("id", "row_id"), "row_id", "left")
+    passages = F.transform("spans", lambda x: F.substring("clean", x["begin"] + 1, x["end"] - x["begin"]))
+    return out.select(
+        "row_id",
+        F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"),
+        F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared_chars"),
+        F.coalesce(F.length("clean"), F.lit(0)).cast("bigint").alias("n_chars"),
+        F.array_join(passages, "\n---\n").alias("passages"),
+    )
+
+
 def _near(spark: SparkSession, folder: str) -> NearDuplicates:
     return NearDuplicates(table(spark, folder, "project_files_hybrid"), "row_id", "documents", words=3, threshold=0.7, numbered=True)
 
@@ -26,7 +55,7 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_groups": p3_groups}
+    return {"p1_found": p1_found, "p1_shared": p1_shared, "p3_found": p3_found, "p3_groups": p3_groups}
 
 
 def oracle_sql() -> dict[str, str]:
