@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import fact_history
 from weftline.llm.near_duplicates import NearDuplicates
 from weftline.llm.shared_spans import same_path, shared_spans
+from weftline.llm.splitting import pieces, renumbered
 from weftline.sources.tables import table
 
 
@@ -54,8 +56,40 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _near(spark, folder).groups().select(F.col("id").alias("row_id"), "group", "links")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that are cut into more than one piece."""
+    cut = pieces(table(spark, folder, "project_files_hybrid"), "row_id", "documents", limit=1000, overlap=100, numbered=True)
+    return cut.where("piece_no = 0 and n_pieces > 1").select(F.col("id").alias("row_id"))
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces of all chunks; ``new_index`` follows on ``chunk_index`` (taken from ``id`` where null) within the file."""
+    chunks = table(spark, folder, "project_files_hybrid")
+    index = F.coalesce("chunk_index", F.try_to_number(F.regexp_extract("id", "::chunk([0-9]+)$", 1), F.lit("999999999")).cast("int"))
+    place = chunks.select("row_id", same_path(F.col("path")).alias("path"), index.alias("chunk_index"))
+    cut = pieces(chunks, "row_id", "documents", limit=1000, overlap=100, numbered=True)
+    counts = cut.where("piece_no = 0").select(F.col("id").alias("row_id"), "n_pieces").join(place, "row_id")
+    shifts = renumbered(counts, "path", ["chunk_index", "row_id"]).select("row_id", "path", "chunk_index", "shift")
+    out = cut.withColumnRenamed("id", "row_id").join(shifts, "row_id")
+    return out.select("row_id", "path", "chunk_index", (F.col("chunk_index") + F.col("shift") + F.col("piece_no")).cast("bigint").alias("new_index"), "piece_no", "n_pieces", "piece")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts to reject."""
+    return fact_history.rejected(table(spark, folder, "agent_memory"), "mem_id", "content", "batch_no").select(F.col("id").alias("mem_id"))
+
+
+def p5_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Per batch, how many facts are accepted and how many rejected."""
+    facts = table(spark, folder, "agent_memory")
+    out = fact_history.rejected(facts, "mem_id", "content", "batch_no").select(F.col("id").alias("mem_id"), F.lit(1).alias("no"))
+    return facts.select("mem_id", "batch_no").join(out, "mem_id", "left").groupBy("batch_no").agg(
+        F.sum(F.when(F.col("no").isNull(), 1).otherwise(0)).alias("accepted"), F.sum(F.coalesce("no", F.lit(0))).alias("rejected")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_shared": p1_shared, "p3_found": p3_found, "p3_groups": p3_groups}
+    return {"p1_found": p1_found, "p1_shared": p1_shared, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_batches": p5_batches}
 
 
 def oracle_sql() -> dict[str, str]:
