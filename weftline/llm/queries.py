@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import fact_history
+from weftline.llm.credentials import credentials, redacted
 from weftline.llm.near_duplicates import NearDuplicates
 from weftline.llm.shared_spans import same_path, shared_spans
 from weftline.llm.splitting import pieces, renumbered
@@ -42,6 +43,21 @@ def p1_shared(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials(table(spark, folder, "project_files_hybrid"), "row_id", "documents", same_path(F.col("path")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that hold a credential or a piece of one."""
+    return _secrets(spark, folder).select(F.col("id").alias("row_id"), "line_no").distinct()
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk with the values of its credentials hidden."""
+    out = redacted(table(spark, folder, "project_files_hybrid"), "row_id", "documents", _secrets(spark, folder))
+    return out.select(F.col("id").alias("row_id"), F.col("text").alias("documents"), "hidden")
+
+
 def _near(spark: SparkSession, folder: str) -> NearDuplicates:
     return NearDuplicates(table(spark, folder, "project_files_hybrid"), "row_id", "documents", words=3, threshold=0.7, numbered=True)
 
@@ -89,7 +105,7 @@ def p5_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_shared": p1_shared, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_batches": p5_batches}
+    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_batches": p5_batches}
 
 
 def oracle_sql() -> dict[str, str]:
