@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import fact_history
 from weftline.llm.credentials import credentials, redacted
+from weftline.llm.leaks import leaks
 from weftline.llm.near_duplicates import NearDuplicates
 from weftline.llm.shared_spans import same_path, shared_spans
 from weftline.llm.splitting import pieces, renumbered
@@ -104,8 +105,23 @@ def p5_batches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the test items of which they hold twelve words in a row."""
+    out = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_cases"), run=12)
+    return out.where("kind = 'run'").select("doc_id", "item_id").distinct()
+
+
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document and test item: passage words given away in runs, the best paraphrase, and whether the answer stands there."""
+    out = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_cases"), run=12, paraphrases=True)
+    words = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == "run", F.sequence("first", F.col("last") - 1))))))
+    return out.groupBy("doc_id", "item_id").agg(
+        words.alias("run_words"), F.max(F.when(F.col("kind") == "paraphrase", F.col("common"))).alias("paraphrase_words"), F.max("answer").alias("answer"), F.round(F.max("cosine"), 3).alias("cosine")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_batches": p5_batches}
+    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks}
 
 
 def oracle_sql() -> dict[str, str]:
