@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import fact_history
+from weftline.llm import fact_history, toxicity
 from weftline.llm.credentials import credentials, redacted
 from weftline.llm.leaks import leaks
 from weftline.llm.near_duplicates import NearDuplicates
@@ -120,8 +120,30 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _toxic(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxicity.toxic_scores(documents, toxicity.fit(documents, table(spark, folder, "labels")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    return _toxic(spark, folder).where("toxic").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's score, and its significant passages."""
+    return _toxic(spark, folder).select(F.col("id").alias("doc_id"), "score", "significance", "toxic", F.array_join("passages", " | ").alias("passages"))
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source, in its regular spelling, the documents and the rate of toxic ones."""
+    source = table(spark, folder, "documents").select(F.col("doc_id"), F.lower(F.trim("source")).alias("source"))
+    scored = _toxic(spark, folder).select(F.col("id").alias("doc_id"), "toxic")
+    return source.join(scored, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.avg(F.col("toxic").cast("double")).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks}
+    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
