@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.llm import fact_history, toxicity
 from weftline.llm.credentials import credentials, redacted
 from weftline.llm.leaks import leaks
+from weftline.llm.mixing import Mixture
 from weftline.llm.near_duplicates import NearDuplicates
 from weftline.llm.shared_spans import same_path, shared_spans
 from weftline.llm.splitting import pieces, renumbered
@@ -142,8 +143,29 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return source.join(scored, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.avg(F.col("toxic").cast("double")).alias("rate"))
 
 
+def tokenizer_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    """The place of a public tokenizer's vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _mixture(spark: SparkSession, folder: str) -> Mixture:
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), tokenizer_file(), block=1024)
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture: each use of a record with its place."""
+    return _mixture(spark, folder).selection
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source, the share aimed at and the share reached."""
+    return _mixture(spark, folder).shares()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
