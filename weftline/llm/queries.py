@@ -168,5 +168,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
+_CLEAN = r"regexp_replace(documents, '(^|\n)[0-9]+: ', '\1', 'g')"
+_OWNER = r"regexp_replace(replace(path, '\', '/'), '^(\./)+', '')"
+_WORDS = r"regexp_extract_all(lower(X), '[\p{L}\p{N}_]+')"
+
+_P1 = f"""WITH t AS (SELECT row_id, coalesce({_OWNER}, chr(0)) AS owner, {_CLEAN} AS c FROM project_files_hybrid WHERE documents IS NOT NULL),
+w AS (SELECT row_id, owner, hash(substring(c, k, 200)) AS h FROM (SELECT row_id, owner, c, unnest(range(1, length(c) - 198)) AS k FROM t WHERE length(c) >= 200)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(owner) <> max(owner))
+SELECT DISTINCT row_id FROM w WHERE h IN (SELECT h FROM s)"""
+
+_P3 = f"""WITH t AS (SELECT row_id, {_WORDS.replace('X', _CLEAN)} AS w FROM project_files_hybrid WHERE documents IS NOT NULL),
+g AS (SELECT DISTINCT row_id, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS g FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS k FROM t WHERE len(w) >= 3)),
+n AS (SELECT row_id, count(*) AS n FROM g GROUP BY row_id),
+c AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.row_id < b.row_id GROUP BY ALL)
+SELECT a AS row_id_a, b AS row_id_b FROM c JOIN n x ON x.row_id = a JOIN n y ON y.row_id = b WHERE c * 10 >= (x.n + y.n - c) * 7"""
+
+_P5 = f"""WITH RECURSIVE t AS (SELECT mem_id, coalesce(batch_no, 2147483647) AS batch_no, list_distinct({_WORDS.replace('X', 'content')}) AS w FROM agent_memory WHERE content IS NOT NULL),
+r AS (SELECT mem_id, w, len(w) AS n, row_number() OVER (ORDER BY batch_no, mem_id) AS k FROM t WHERE len(w) > 0),
+g AS (SELECT k, n, unnest(w) AS x FROM r),
+c AS (SELECT b.k AS k, a.k AS early FROM g a JOIN g b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k, a.n, b.n HAVING count(*) * 10 >= (a.n + b.n - count(*)) * 8),
+e AS (SELECT r.k, coalesce(list(early) FILTER (early IS NOT NULL), []) AS before FROM r LEFT JOIN c ON c.k = r.k GROUP BY r.k),
+d(k, bad) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT e.k, CASE WHEN len(list_filter(e.before, lambda x: NOT list_contains(d.bad, x))) > 0 THEN list_append(d.bad, e.k) ELSE d.bad END FROM d JOIN e ON e.k = d.k + 1)
+SELECT mem_id FROM r WHERE list_contains((SELECT bad FROM d ORDER BY k DESC LIMIT 1), k)"""
+
+_P6 = f"""WITH p AS (SELECT item_id, {_WORDS.replace('X', 'passage')} AS w FROM eval_cases WHERE passage IS NOT NULL),
+d AS (SELECT doc_id, {_WORDS.replace('X', 'text')} AS w FROM documents WHERE text IS NOT NULL),
+pg AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM p WHERE len(w) >= 12)),
+dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 11), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN pg ON dg.g = pg.g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries it can state; the others are tested against brute force."""
+    return {"p1_found": _P1, "p3_found": _P3, "p4_found": f"SELECT row_id FROM project_files_hybrid WHERE length({_CLEAN}) > 1000", "p5_found": _P5, "p6_found": _P6}
