@@ -15,7 +15,9 @@ kept. No posting is capped and none dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.sources.tables import durable
@@ -26,10 +28,10 @@ def _postings(signatures: DataFrame) -> DataFrame:
     return out.select(F.xxhash64("block", "pos", "value").alias("key"), "id", "block", "own", F.array("pos").alias("used"))
 
 
-def _pairs(postings: DataFrame) -> DataFrame:
-    a = postings.select("key", F.col("id").alias("a"), F.col("own").alias("own_a"))
+def _pairs(postings: DataFrame, *also: str) -> DataFrame:
+    a = postings.select("key", *also, F.col("id").alias("a"), F.col("own").alias("own_a"))
     b = postings.select("key", F.col("id").alias("b"), F.col("own").alias("own_b"))
-    return a.join(b, "key").where("a < b and (own_a or own_b)").select("a", "b")
+    return a.join(b, "key").where("a < b and (own_a or own_b)").select(*also, "a", "b")
 
 
 def agreeing_pairs(signatures: DataFrame, matches: int, crowded: int = 256) -> DataFrame:
@@ -38,13 +40,11 @@ def agreeing_pairs(signatures: DataFrame, matches: int, crowded: int = 256) -> D
     ``signatures``: id, block (only records of one block are compared), own
     (pairs of two records that are both not ``own`` in a block are left out;
     they meet in another block), sig (array<bigint>, null at positions that do
-    not count), one row per id and block. ``tally`` counts the positions agreed on in the
-    postings that were joined, which is all of them where none is crowded; a
-    pair met in a crowded posting gets ``matches``, as a lower bound.
+    not count), one row per id and block. ``tally`` is the number of positions met at: all
+    of them where no posting is crowded, else the most found under one crowded posting, a lower bound.
 
     ``crowded`` is the number of records from which a posting is refined; it
-    changes the work, not the result beyond pairs under ``matches``, which the
-    caller's exact check removes.
+    changes the work, not the pairs. Pairs met in several blocks come once. No signatures give no pairs.
     """
     postings = _postings(signatures)
     counts = postings.groupBy("key").count().where(F.col("count") > 1)
@@ -53,34 +53,23 @@ def agreeing_pairs(signatures: DataFrame, matches: int, crowded: int = 256) -> D
         found = _pairs(postings).groupBy("a", "b").agg(F.count("*").cast("int").alias("tally"))
         return found.where(F.col("tally") >= matches)
 
-    cold = _pairs(postings.join(hot, "key", "left_anti"))
-    found = cold.groupBy("a", "b").agg(F.count("*").cast("int").alias("tally"))
-    # agreeing at `matches` positions, some of them crowded: whatever is met at all in a crowded posting's refinement is kept
-    parts = [found.where(F.col("tally") >= matches)]
+    cold = _pairs(postings.join(hot, "key", "left_anti")).groupBy("a", "b").agg(F.count("*").cast("int").alias("tally"))
+    parts = [cold.where(F.col("tally") >= matches)]
     level = postings.join(hot, "key", "left_semi")
     for depth in range(2, matches + 1):
         fine = level.join(_further(signatures), ["id", "block"]).where(~F.array_contains("used", F.col("pos")))
-        fine = fine.select(F.xxhash64("key", "pos", "value").alias("key"), "id", "block", "own", F.array_append("used", F.col("pos")).alias("used"))
+        fine = fine.select(F.xxhash64("key", "pos", "value").alias("key"), F.col("key").alias("parent"), "id", "block", "own", F.array_append("used", F.col("pos")).alias("used"))
         fine = durable(fine)
-        if depth == matches:
-            parts.append(_pairs(fine).distinct().withColumn("tally", F.lit(matches)))
-            break
-        sizes = fine.groupBy("key").count().where(F.col("count") > crowded)
-        more = durable(sizes.select("key"))
-        parts.append(_pairs(fine.join(more, "key", "left_anti")).distinct().withColumn("tally", F.lit(matches)))
-        if more.isEmpty():
+        more = durable(fine.groupBy("key").count().where(F.col("count") > crowded).select("key")) if depth < matches else None
+        # under one parent, of depth - 1 positions, a pair meets once for each further position it agrees at
+        met = _pairs(fine if more is None else fine.join(more, "key", "left_anti"), "parent").groupBy("parent", "a", "b").count()
+        met = met.where(F.col("count") >= matches - depth + 1).select("a", "b", (F.col("count") + depth - 1).cast("int").alias("tally"))
+        parts.append(met)
+        if more is None or more.isEmpty():
             break
-        level = fine.join(more, "key", "left_semi")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("a", "b").agg(F.max("tally").alias("tally"))
+        level = fine.join(more, "key", "left_semi").drop("parent")
+    return reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.max("tally").alias("tally"))
 
 
 def _further(signatures: DataFrame) -> DataFrame:
     return signatures.select("id", "block", F.posexplode("sig").alias("pos", "value")).where("value is not null")
-
-
-def share_at_least(common: Column, size_a: Column, size_b: Column, tenths: int) -> Column:
-    """common / union >= tenths / 10, in whole numbers."""
-    return common * 10 >= (size_a + size_b - common) * tenths
