@@ -30,7 +30,7 @@ class HashingProvider:
             hashes, text = word_hashes(block)
             place = (hashes % np.uint64(self.size)).astype(np.int64)
             sign = np.where(mix(hashes) >> np.uint64(63), 1.0, -1.0)
-            sums = np.bincount(text * self.size + place, sign, len(at) * self.size).reshape(len(at), self.size)
+            sums = np.bincount(text * self.size + place, sign, len(at) * self.size).astype(float).reshape(len(at), self.size)
             sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
             for i, v in zip(at.tolist(), sums.tolist()):
                 out[i] = v

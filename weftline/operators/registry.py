@@ -111,4 +111,4 @@ def tidied(text: Column, prefixes: list[str]) -> Column:
     """A model's answer without white space and quotes around it and without one leading phrase."""
     t = F.trim(text)
     t = F.btrim(F.btrim(t, F.lit('"')), F.lit("'"))
-    return F.trim(F.regexp_replace(F.trim(t), "(?i)^(" + "|".join(prefixes) + r")\s*", ""))
+    return F.trim(F.regexp_replace(F.trim(t), "(?iu)^(" + "|".join(prefixes) + r")\s*", ""))
