@@ -44,7 +44,7 @@ _TO_LATIN = str.maketrans("аеорсухкмнтвіѕиг", "aeopcyxkmhtbisur"
 _LEET = str.maketrans("01345679@$", "oleasgtgas")
 _LEET_I = str.maketrans("01345679@$", "oieasgtgas")
 _MIXED = re.compile(r"[a-z][а-яёіѕ]|[а-яёіѕ][a-z]")
-_SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){3,}(?!\w)")
+_SPACED = re.compile(r"(?<!\w)\w([ .\-_*])\w(?:\1\w){2,}(?!\w)")
 _MASKED = re.compile(r"\w+[*#]+\w*|\w*[*#]+\w+")
 _LEETED = re.compile(r"[^\W\d_][0-9@$]|[0-9@$][^\W\d_]")
 _LONG = re.compile(r"([^\W\d_])\1\1+")
