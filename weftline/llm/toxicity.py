@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.codepoints import Block, blocks, mix, span_hash, word_hashes
+from weftline.functions.codepoints import Block, blocks, mix, span_hash, word_hashes, word_table
 from weftline.sources.tables import durable
 
 ROUNDS, SHARPENINGS = 3, 2
@@ -45,8 +46,8 @@ _LEET = str.maketrans("01345679@$", "oleasgtgas")
 _LEET_I = str.maketrans("01345679@$", "oieasgtgas")
 _MIXED = re.compile(r"[a-z][а-яёіѕ]|[а-яёіѕ][a-z]")
 _SPACED = re.compile(r"(?<!\w)\w([ .\-_*])\w(?:\1\w){2,}(?!\w)")
-_MASKED = re.compile(r"\w+[*#]+\w*|\w*[*#]+\w+")
-_LEETED = re.compile(r"[^\W\d_][0-9@$]|[0-9@$][^\W\d_]")
+_MASKED = re.compile(r"[*#]+(?=\w)|(?<=\w)[*#]")
+_LEETED = re.compile(r"[0-9@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0-9@$]")
 _LONG = re.compile(r"([^\W\d_])\1\1+")
 
 
@@ -87,21 +88,22 @@ def _letters(block: Block) -> np.ndarray:
     return mix((sums[end] - sums[begin]) ^ mix(block.codes[begin] + np.uint64(77)))
 
 
-def _around(text: str, at: int) -> tuple[int, int]:
+def _around(text: str, at: int, also: str) -> tuple[int, int]:
     lo, hi = at, at
-    while lo > 0 and (text[lo - 1].isalnum() or text[lo - 1] in "@$_"):
+    while lo > 0 and (text[lo - 1].isalnum() or text[lo - 1] in also):
         lo -= 1
-    while hi < len(text) and (text[hi].isalnum() or text[hi] in "@$_"):
+    while hi < len(text) and (text[hi].isalnum() or text[hi] in also):
         hi += 1
     return lo, hi
 
 
-def _replaced(text: str, trigger: re.Pattern, by) -> str:
+def _replaced(text: str, trigger: re.Pattern, by: Callable[[str], str], also: str = "@$_") -> str:
+    """The text with each word around a match replaced; signs of ``also`` belong to words."""
     out, done = [], 0
     for m in trigger.finditer(text):
         if m.start() < done:
             continue
-        lo, hi = _around(text, m.start())
+        lo, hi = _around(text, m.start(), also)
         if lo < done or hi <= lo:
             continue
         out += [text[done:lo], by(text[lo:hi])]
@@ -109,8 +111,45 @@ def _replaced(text: str, trigger: re.Pattern, by) -> str:
     return "".join([*out, text[done:]]) if out else text
 
 
-def undisguised(text: str, weights: Weights) -> str:
-    """A text in lower case with spelling tricks undone: letters spaced out, of another script, as digits, repeated or hidden by asterisks."""
+_OTHER, _LATIN, _CYRILLIC, _LETTER, _DIGIT, _STAR, _GAP = range(7)
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """The kind of each code point, as the tricks tell them apart."""
+    t = np.zeros(0x110000, dtype=np.uint8)
+    t[word_table()] = _LETTER
+    t[ord("a") : ord("z") + 1] = _LATIN
+    t[ord("а") : ord("я") + 1] = _CYRILLIC
+    for signs, kind in (("ёіѕ", _CYRILLIC), ("0123456789@$", _DIGIT), ("*#", _STAR), (" .-_", _GAP)):
+        t[[ord(c) for c in signs]] = kind
+    return t
+
+
+def _suspects(texts: list[str]) -> list[set[str]]:
+    """Which tricks each text (in lower case) may use, found by passes over arrays, so that the others are spared the expressions."""
+    out: list[set[str]] = [set() for _ in texts]
+    for at, block in blocks(texts):
+        c, k = block.codes, _kinds()[block.codes]
+        a, b = k[:-1], k[1:]
+        letter = (k >= _LATIN) & (k <= _LETTER)
+        wordish = letter | (k == _DIGIT)
+        gap = (k == _GAP) | (k == _STAR)
+        found = {
+            "script": np.flatnonzero(((a == _LATIN) & (b == _CYRILLIC)) | ((a == _CYRILLIC) & (b == _LATIN))),
+            "leet": np.flatnonzero((letter[:-1] & (b == _DIGIT)) | ((a == _DIGIT) & letter[1:])),
+            "masked": np.flatnonzero((wordish[:-1] & (b == _STAR)) | ((a == _STAR) & wordish[1:])),
+            "long": np.flatnonzero(letter[2:] & (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2])) if len(c) > 2 else [],
+            "spaced": np.flatnonzero(wordish[:-4] & gap[1:-3] & wordish[2:-2] & gap[3:-1] & wordish[4:]) if len(c) > 4 else [],
+        }
+        for trick, places in found.items():
+            for i in np.unique(np.searchsorted(block.start, places, side="right") - 1).tolist():
+                out[at[i]].add(trick)
+    return out
+
+
+def undisguised(texts: list[str], weights: Weights) -> list[str]:
+    """Texts in lower case with spelling tricks undone: letters spaced out, of another script, as digits, repeated or hidden by asterisks."""
     words = weights.words
 
     def script(w: str) -> str:
@@ -120,22 +159,32 @@ def undisguised(text: str, weights: Weights) -> str:
     def leet(w: str) -> str:
         if len(w) > 20 or not any(c.isalpha() for c in w):
             return w
-        return next((v for v in (w.translate(_LEET), w.translate(_LEET_I)) if words.get(v, 0) > 0), w)
+        return next((v for v in (w.translate(_LEET), w.translate(_LEET_I), w.translate(_LEET).translate(_TO_CYRILLIC)) if words.get(v, 0) > 0), w)
 
-    def masked(m: re.Match) -> str:
-        w = m.group()
+    def masked(w: str) -> str:
+        shown = sum(c not in "*#" for c in w)
+        if shown < 2 or shown == len(w) or len(w) > 30:
+            return w
         shape = re.compile("".join("." if c in "*#" else re.escape(c) for c in w))
         keys = [(len(w), w[0])] if w[0] not in "*#" else [k for k in weights.toxic if k[0] == len(w)]
         fits = [v for k in keys for v in weights.toxic.get(k, ()) if shape.fullmatch(v)]
-        return max(fits, key=words.__getitem__) if fits and sum(c not in "*#" for c in w) >= 2 else w
-
-    t = unicodedata.normalize("NFKC", text).lower() if not text.isascii() else text.lower()
-    t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), t)
-    if not t.isascii():
-        t = _replaced(t, _MIXED, script)
-    t = _replaced(t, _LEETED, leet)
-    t = _LONG.sub(r"\1", t)
-    return _MASKED.sub(masked, t) if "*" in t or "#" in t else t
+        return max(fits, key=words.__getitem__) if fits else w
+
+    low = [(t if t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t)).lower() for t in texts]
+    for i, tricks in enumerate(_suspects(low)):
+        t = low[i]
+        if "spaced" in tricks:
+            t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), t)
+        if "script" in tricks or "spaced" in tricks:
+            t = _replaced(t, _MIXED, script)
+        if "leet" in tricks:
+            t = _replaced(t, _LEETED, leet)
+        if "long" in tricks:
+            t = _LONG.sub(r"\1", t)
+        if "masked" in tricks:
+            t = _replaced(t, _MASKED, masked, "*#")
+        low[i] = t
+    return low
 
 
 def _best(scores: np.ndarray) -> tuple[float, int, int]:
@@ -173,6 +222,16 @@ def all_segments(scores: list[float]) -> list[tuple[float, int, int]]:
     return [(r - l, b, e) for l, r, b, e in kept]
 
 
+def _by_halves(texts: list[str | None], halves: list[int], weights: list[Weights]) -> list[str | None]:
+    """Each text undisguised with the weights of its half; null where there are none for it."""
+    out: list[str | None] = [None] * len(texts)
+    for k, w in enumerate(weights):
+        mine = [i for i, t in enumerate(texts) if t is not None and halves[i] == k]
+        for i, t in zip(mine, undisguised([texts[i] for i in mine], w)):
+            out[i] = t
+    return out
+
+
 def _word_counts(weights: Weights | None):
     """Of judged texts: how often each word stands in toxic passages and in clean texts."""
     schema = pa.schema([("half", pa.int32()), ("word", pa.string()), ("toxic", pa.float64()), ("clean", pa.float64())])
@@ -180,9 +239,10 @@ def _word_counts(weights: Weights | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, str], list[float]] = {}
         for batch in batches:
-            for toxic, half, text in zip(*(c.to_pylist() for c in batch.columns)):
+            toxics, halves, texts = (c.to_pylist() for c in batch.columns)
+            plain = _by_halves(texts, halves, weights) if weights else [t.lower() for t in texts]
+            for toxic, half, t in zip(toxics, halves, plain):
                 w = weights[half] if weights else None
-                t = undisguised(text, w) if w else text.lower()
                 words = _WORD.findall(t)
                 if w:
                     best, b, e = _best(np.array([w.words.get(x, w.other) for x in words]))
@@ -284,9 +344,10 @@ def _best_passages(weights: list[Weights]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
-            for toxic, half, text in zip(*(c.to_pylist() for c in batch.columns)):
+            toxics, halves, texts = (c.to_pylist() for c in batch.columns)
+            for toxic, half, t in zip(toxics, halves, _by_halves(texts, halves, weights)):
                 w = weights[half]
-                words = [x[:40] for x in _WORD.findall(undisguised(text, w))]
+                words = [x[:40] for x in _WORD.findall(t)]
                 best, b, e = _best(np.array([w.words.get(x, w.other) for x in words]))
                 if best >= CLEAR:
                     for column, value in zip(out, (half, float(toxic), words[b:e][:200])):
@@ -335,8 +396,9 @@ def _scan(weights: list[Weights], by_half: bool):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             halves = [1 - x for x in batch.column(2).to_pylist()] if by_half else [0] * len(ids)
             out: list[list] = [[], [], [], []]
+            every = _by_halves(texts, halves, weights)
             for k, w in enumerate(weights):
-                plain = [None if t is None or halves[i] != k else undisguised(t, w) for i, t in enumerate(texts)]
+                plain = [t if halves[i] == k else None for i, t in enumerate(every)]
                 for at, block in blocks(plain):
                     values, text = scores_of(block, w, arrays[k])
                     bound = np.searchsorted(text, np.arange(len(at) + 1))
