@@ -42,6 +42,7 @@ RULES: dict[str, str] = {
     "argument": rf"""(?<![\w$-]){_IDENT}\\?["'`]\s{{0,20}},\s{{0,20}}(?:default\s{{0,4}}=\s{{0,4}})?[rbuf]{{0,2}}\\?["'`]{{1,3}}{_VALUE}""",
     # NAME v: netrc, notes, chat
     "spoken": rf"""(?<![\w$-]){_IDENT}[ \t]{{1,4}}(?:is[ \t]|[-—–][ \t])?["'`]?{_VALUE}""",
+    "netrc": r"""\blogin[ \t]{1,4}\S{1,100}[ \t]{1,4}password[ \t]{1,4}(?P<v>\S{4,100})""",
     "url": r"""[a-z][\w+.-]{1,20}://[^\s/:@"'<>`]{0,200}:(?P<v>[^\s/@"'<>`]{3,200})@""",
     "user_option": r"""curl\b[^\n]{0,300}?[ \t](?:-u|--user)[ =]{1,4}["']?[^\s:"']{1,100}:(?P<v>[^\s"']{4,})""",
     "basic": r"""basic\s{1,4}(?P<v>[A-Za-z0-9+/_-]{8,}={0,2})""",
@@ -62,8 +63,8 @@ _HARMLESS = re.compile(
     [<{(\[].* | \$\{.* | \$\(.* | \$[A-Za-z_]+ | %\w*% | %\(.* | %[sd] | .*[>}] | .*\$\{.* | (?:os|sys|process|env|self|config|settings|cfg)\b[.\[].*
     | x{3,} | .*\*{3,}.* | \.{3,} | -+ | _+
     | (?:your|insert|enter|put|fill)[-_ ]?[a-z_ -]* | .*[-_]here | your[-_].*
-    | (?:.*[^a-z])?(?:placeholder|redacted|change[-_]?me|todo|tbd|dummy|masked|hidden|removed|example|not[-_]set)(?:[^a-z].*)?
-    | (?:none|null|nil|true|false|undefined|str|int|bool|bytes|optional|secretstr)\b.*
+    | (?!.*\d)(?:.*[^a-z])?(?:placeholder|redacted|change[-_]?me|todo|tbd|dummy|masked|hidden|removed|example|not[-_]set)(?:[^a-z].*)?
+    | (?:none|null|nil|true|false|undefined|str|int|bool|bytes|optional|secretstr)(?:[\s|,)=\[\]].*)?
     | [\d.,:;+-]+ | 0x[0-9a-f]{1,8}
     | (?:sha\d+|md5)[-:=].* | data:.* | \w*(?:getpass|getenv|environ|input|prompt)\w*\(.* | (?:https?|file)://[^@]*
     """
@@ -82,7 +83,7 @@ _SECTION_VALUE = re.compile(r"""[ \t]*(?:value|default|data|text|content)[ \t]*[
 _ROW = re.compile(r"[ \t]*\|(.+)\|[ \t]*\r?")
 _RULER = re.compile(r"[ \t]*\|[ \t:|-]*-[ \t:|-]*\|[ \t]*\r?")
 _NAME_CELL = re.compile(rf"(?i)[\w .-]*?{NAMES}\d?")
-_NAMED = re.compile(rf"""(?i)["']?(?:name|key|variable|env)["']?\s*[:=]\s*["']?{_IDENT}["']?\s*,?""")
+_NAMED = re.compile(rf"""(?i)(?:-[ \t]*)?(?:\{{[ \t]*)?["']?(?:name|key|variable|env)["']?\s*[:=]\s*["']?{_IDENT}["']?\s*,?""")
 _NAMED_VALUE = re.compile(r"""["']?(?:value|default)["']?\s*[:=]\s*["']?(?P<v>[^\s"',}]{5,})""")
 
 _HIT = pa.schema([("id", pa.int64()), ("path", pa.string()), ("line_no", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
@@ -223,33 +224,37 @@ def _over_lines(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
 
 
 def _tables(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
-    """Columns of Markdown tables whose head names a credential; rows of two cells at the top of a chunk, the head in the chunk before."""
-    k = 1 if c.lines and _RULER.fullmatch(c.lines[0]) else 0
-    while k < len(c.lines) and len(c.lines[k]) < 400 and (row := _ROW.fullmatch(c.lines[k])) and not (k + 1 < len(c.lines) and _RULER.fullmatch(c.lines[k + 1])):
+    """Columns of Markdown tables whose head names a credential; a stray line may stand between.
+
+    At the top of a chunk, where the head can be in the chunk before, the last of two cells counts if it looks like a password.
+    """
+    wanted: set[int] | None = None
+    guessing, stray = True, 0
+    for k, line in enumerate(c.lines):
+        row = _ROW.fullmatch(line) if len(line) < 2000 else None
+        if not row:
+            stray += 1
+            if stray > 2:
+                wanted = None
+            guessing = guessing and k < 3
+            continue
+        if _RULER.fullmatch(line):
+            continue
+        stray = 0
         cells = row[1].split("|")
-        value = cells[-1].strip().strip("`")
-        if len(cells) == 2 and " " not in value and looks_secret(value, strict=True):
-            b = c.at[k] + row.start(1) + len(cells[0]) + 1 + cells[1].index(value)
-            yield c.numbers[k], b, b + len(value), "value"
-        k += 1
-    while k + 2 < len(c.lines):
-        head = _ROW.fullmatch(c.lines[k]) if len(c.lines[k]) < 400 else None
-        if not head or not _RULER.fullmatch(c.lines[k + 1]):
-            k += 1
+        named = {i for i, cell in enumerate(cells) if _NAME_CELL.fullmatch(cell.strip())}
+        if any(_RULER.fullmatch(x) for x in c.lines[k + 1 : k + (4 if named else 2)]):
+            wanted, guessing = named or None, False
             continue
-        wanted = [i for i, cell in enumerate(head[1].split("|")) if _NAME_CELL.fullmatch(cell.strip())]
-        k += 2
-        while k < len(c.lines) and len(c.lines[k]) < 2000 and (row := _ROW.fullmatch(c.lines[k])):
-            if k + 1 < len(c.lines) and _RULER.fullmatch(c.lines[k + 1]):
-                break  # the head of another table
-            at = row.start(1)
-            for i, cell in enumerate(row[1].split("|")):
-                value = cell.strip().strip("`")
-                if i in wanted and " " not in value and looks_secret(value):
-                    b = c.at[k] + at + cell.index(value)
-                    yield c.numbers[k], b, b + len(value), "value"
-                at += len(cell) + 1
-            k += 1
+        if wanted is None and not (len(cells) == 2 and (guessing or 0 in named)):
+            continue
+        at = c.at[k] + row.start(1)
+        for i, cell in enumerate(cells):
+            value = cell.strip().strip("`")
+            if i in (wanted or {1}) and " " not in value and looks_secret(value, strict=wanted is None):
+                b = at + cell.index(value)
+                yield c.numbers[k], b, b + len(value), "value"
+            at += len(cell) + 1
 
 
 def _named_values(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
@@ -263,7 +268,7 @@ def _named_values(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
                     yield c.numbers[k], c.at[k] + v.start("v"), c.at[k] + v.end("v"), "value"
             elif _NAMED.fullmatch(line.strip()):
                 for j in (k + 1, k + 2, k - 1):
-                    if 0 <= j < len(c.lines) and len(c.lines[j]) < 2000 and (v := _NAMED_VALUE.match(c.lines[j].strip())) and looks_secret(v["v"]):
+                    if 0 <= j < len(c.lines) and len(c.lines[j]) < 2000 and (v := _NAMED_VALUE.match(c.lines[j].strip().removeprefix("- "))) and looks_secret(v["v"]):
                         b = c.at[j] + c.lines[j].index(v["v"])
                         yield c.numbers[j], b, b + len(v["v"]), "value"
                         break
@@ -288,7 +293,7 @@ def _by_rule(rule: str, pattern: re.Pattern, c: _Chunk) -> Iterator[tuple[int, i
         elif rule == "url":
             good = not re.search(r"\$\{|\$\(|^\$[A-Za-z_]+$|^\{|\}$|^%\(|^%s$|\*{3}|^<", value) and not re.fullmatch(r"\d{1,5}|(?i:pass(word)?|secret|pwd)", value)
         elif rule in ("jwt", "prefixed", "cloud_id"):
-            good = bool(re.search(r"\d", value)) and not re.search(r"(?i)x{6}|example|\.\.\.", value)
+            good = (rule == "cloud_id" or bool(re.search(r"\d", value))) and not re.search(r"(?i)x{6}|example|\.\.\.", value)
         elif rule in ("bearer", "user_option"):
             good = looks_secret(value)
         elif rule == "login_call":
