@@ -19,8 +19,9 @@ def last_messages(messages: DataFrame, conversation: str, turn: str, tie: str, n
 
 def after_reset(messages: DataFrame, conversation: str, turn: str, tie: str, is_reset: Column) -> DataFrame:
     """What each conversation says after its last reset; all of it where there was none."""
-    order = Window.partitionBy(conversation).orderBy(F.col(turn).asc_nulls_first(), tie)
-    marked = messages.withColumn("_reset", F.coalesce(is_reset, F.lit(False)).cast("int"))
-    marked = marked.withColumn("_segment", F.sum("_reset").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("_last", F.sum("_reset").over(Window.partitionBy(conversation)))
-    return marked.where("_segment = _last and _reset = 0").drop("_reset", "_segment", "_last")
+    # the last reset of each conversation is a plain aggregate, so a very long one isn't one task's window
+    place = F.struct(F.coalesce(F.col(turn).cast("bigint"), F.lit(-(2**62))).alias("turn"), F.col(tie).alias("tie"))
+    reset = F.coalesce(is_reset, F.lit(False))
+    last = messages.where(reset).groupBy(F.col(conversation).alias("_conversation")).agg(F.max(place).alias("_last"))
+    joined = messages.where(~reset).join(last, F.col(conversation).eqNullSafe(F.col("_conversation")), "left")
+    return joined.where(F.col("_last").isNull() | (place > F.col("_last"))).drop("_conversation", "_last")
