@@ -10,11 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import tokens
+from weftline.functions.text import TOKEN, tokens
+from weftline.sources.tables import durable
 
 B = 0.75
 
 
+def _terms(array: str = "tokens") -> Column:
+    # explode would make the optimizer add a filter on the array's size, and so tokenise every text twice
+    return F.explode_outer(array).alias("term")
+
+
+def length(text: Column) -> Column:
+    """The number of tokens, without building them."""
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(TOKEN)), F.lit(0))
+
+
 def tokenised(texts: DataFrame, id: str, text: str) -> DataFrame:
     """(id, tokens, dl). Null texts have no tokens, as empty ones."""
     found = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
@@ -23,12 +34,12 @@ def tokenised(texts: DataFrame, id: str, text: str) -> DataFrame:
 
 def term_frequency(texts: DataFrame, id: str, text: str) -> DataFrame:
     """(id, term, tf)."""
-    return tokenised(texts, id, text).select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return tokenised(texts, id, text).select("id", _terms()).where("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(texts: DataFrame, id: str, text: str) -> DataFrame:
     """(n_docs, total_len, avg_len) in one row; avg_len is 0 for no documents."""
-    found = tokenised(texts, id, text).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
+    found = texts.select(length(F.col(text)).alias("dl")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
     return found.withColumn("avg_len", F.col("total_len") / F.greatest(F.col("n_docs"), F.lit(1)))
 
 
@@ -38,7 +49,7 @@ def idf(n: Column, df: Column) -> Column:
 
 def document_frequency(texts: DataFrame, id: str, text: str) -> DataFrame:
     """(term, df, idf)."""
-    each = tokenised(texts, id, text).select(F.explode(F.array_distinct("tokens")).alias("term"))
+    each = tokenised(texts, id, text).select(F.array_distinct("tokens").alias("tokens")).select(_terms()).where("term is not null")
     counts = each.groupBy("term").agg(F.count("*").alias("df"))
     return counts.crossJoin(F.broadcast(texts.agg(F.count("*").alias("n")))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
@@ -48,14 +59,13 @@ def scores(texts: DataFrame, id: str, text: str, queries: DataFrame, query_id: s
 
     Postings are filtered to the queries' terms before anything is grouped, so the
     shuffles carry only those; the statistics come from all texts. The query set is a stated one, held by every task; the
-    texts are read once for the statistics and once for the postings.
+    texts are read once for the postings, which are kept, and once for the statistics.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    read = tokenised(texts, id, text)
-    stats = read.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = read.select("id", "dl", F.explode("tokens").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
-    tf = hits.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    stats = texts.select(length(F.col(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = tokenised(texts, id, text).select("id", "dl", _terms()).join(F.broadcast(asked.select("term").distinct()), "term")
+    tf = durable(hits.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weight = idf(F.col("n"), F.col("df")) * (F.col("tf") / (1 + B * (F.col("dl") / F.col("avgdl") - 1))) * (1 + B * F.col("tf") / (F.col("tf") + 1))
     joined = tf.join(df, "term").join(F.broadcast(asked), "term").crossJoin(F.broadcast(stats))

@@ -25,12 +25,21 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.round(1 - F.try_divide(dot(a, b), norm(a) * norm(b)), 9) + 0.0
 
 
+def _measured(rows: DataFrame, id: str, vector: str, as_id: str, as_vector: str) -> DataFrame:
+    """Ids, vectors as doubles and their lengths, without null and zero vectors."""
+    read = rows.select(F.col(id).alias(as_id), _doubles(F.col(vector)).alias(as_vector))
+    return read.withColumn(f"{as_vector}_norm", norm(F.col(as_vector))).where(F.col(f"{as_vector}_norm") > 0)
+
+
 def distances(corpus: DataFrame, id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str) -> DataFrame:
-    """(query_id, id, distance) for a stated set of queries against all rows. Null and zero vectors don't come out."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_query"))
-    rows = corpus.select(F.col(id).alias("id"), F.col(vector).alias("_vector"))
-    found = rows.crossJoin(F.broadcast(asked)).select("query_id", "id", cosine_distance(F.col("_vector"), F.col("_query")).alias("distance"))
-    return found.where("distance is not null")
+    """(query_id, id, distance) for a stated set of queries against all rows. Null and zero vectors don't come out.
+
+    Lengths are worked out once per row and once per query, so a pair costs one product.
+    """
+    asked = _measured(queries, query_id, query_vector, "query_id", "_query")
+    found = _measured(corpus, id, vector, "id", "_vector").crossJoin(F.broadcast(asked))
+    cosine = dot(F.col("_vector"), F.col("_query")) / (F.col("_vector_norm") * F.col("_query_norm"))
+    return found.select("query_id", "id", (F.round(1 - cosine, 9) + 0.0).alias("distance"))
 
 
 def nearest(corpus: DataFrame, id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, n: int = 5) -> DataFrame:

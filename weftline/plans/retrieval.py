@@ -11,7 +11,7 @@ from weftline.functions.text import TOKEN
 from weftline.operators import evaluate, hybrid, lexical, render, vector
 from weftline.operators.providers import embedded
 from weftline.plans.base import Plans
-from weftline.sources.tables import table
+from weftline.sources.tables import durable, table
 
 PLANS = Plans()
 N = 5
@@ -45,9 +45,11 @@ def _lexical_pool(spark: SparkSession, folder: str, n: int = POOL) -> DataFrame:
     return lexical.search(_chunks(spark, folder), "row_id", "documents", _questions(spark, folder), "item_id", "query", n)
 
 
-def _hits(spark: SparkSession, folder: str, mode: str) -> DataFrame:
-    fused = hybrid.fuse(_vector_pool(spark, folder), _lexical_pool(spark, folder), mode)
-    return hybrid.ranked(fused, _details(spark, folder), N).withColumn("mode", F.lit(mode))
+def _hits(spark: SparkSession, folder: str, *modes: str) -> DataFrame:
+    """The hits of each mode; the two pools of candidates are made once for all."""
+    pools = durable(_vector_pool(spark, folder)), durable(_lexical_pool(spark, folder))
+    ranked = (hybrid.ranked(hybrid.fuse(*pools, m), _details(spark, folder), N).withColumn("mode", F.lit(m)) for m in modes)
+    return reduce(DataFrame.unionByName, ranked)
 
 
 _TOKENS = f"coalesce(regexp_extract_all(lower(documents), '{TOKEN}'), [])"
@@ -256,7 +258,7 @@ def budget_render(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ranks(spark: SparkSession, folder: str) -> DataFrame:
-    hits = reduce(DataFrame.unionByName, (_hits(spark, folder, m).select("mode", "query_id", "path", "position") for m in MODES))
+    hits = _hits(spark, folder, *MODES).select("mode", "query_id", "path", "position")
     return evaluate.first_relevant(hits, _questions(spark, folder).select(F.col("item_id").alias("query_id"), "expected"), MODES)
 
 
