@@ -6,7 +6,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions.text import clock
 from weftline.operators import calc, history, memory, registry, toolcalls
+from weftline.operators.project import FORM, Project
+from weftline.operators.providers import answered
 from weftline.sources import files
 from weftline.streaming.history import last_messages_stream
 
@@ -158,3 +161,30 @@ def test_stream_keeps_the_last_messages(spark, tmp_path):
     finally:
         query.stop()
     assert got[0] == ([2, 3, 4], ["m2", "m3", "m4"]) and got[-1] == ([3, 4, 7], ["m3", "again", "m7"])
+
+
+class Shouting:
+    def answer(self, prompts):
+        return [None if p is None else p.upper() for p in prompts]
+
+
+def test_a_project_from_folder_to_answer(spark, tmp_path):
+    root = tmp_path / "src"
+    root.mkdir()
+    texts = spark.createDataFrame([("impl.py", "def calculator(expression):\n    return ast.parse(expression)\n"), ("notes.md", "the calculator is named here, and nothing else at all\n"), ("../out.py", "x"), ("none/x.py", "x")], "path string, content string")
+    written = {r["path"]: r for r in files.write_texts(texts, str(root)).collect()}
+    assert written["impl.py"]["chars"] == 61 and written["../out.py"]["error"] and written["none/x.py"]["error"]
+    (root / "blank.txt").write_text(" \n")
+    project = Project(spark, f"file://{tmp_path}/index")
+    assert project.index(str(root)).first().asDict() == {"files": 2, "chunks": 2, "errors": 0}
+    asked = spark.createDataFrame([(1, "def calculator"), (2, " "), (3, None)], "query_id int, query string")
+    hits = project.search(asked).orderBy("position").collect()
+    assert [h["path"] for h in hits] == ["impl.py", "notes.md"] and {h["query_id"] for h in hits} == {1}
+    answer = project.ask(asked).first()
+    assert answer["answer"].startswith("1. [impl.py]\n1: def calculator") and answer["shown"] == 2
+    (root / "impl.py").write_text("def something_else_entirely(): pass")
+    project.reindex(str(root), spark.createDataFrame([("impl.py",)], "path string"))
+    assert "something" in project.store.read(FORM).where("path = 'impl.py'").first()["documents"] and project.stats().first()["chunks"] == 2
+    said = answered(asked, F.col("query"), Shouting()).orderBy("query_id").collect()
+    assert [x["answer"] for x in said] == ["DEF CALCULATOR", " ", None]
+    assert len(spark.range(1).select(clock()).first()[0]) == 19

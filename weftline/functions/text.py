@@ -77,3 +77,8 @@ def extension(path: Column) -> Column:
 def short_id(text: Column) -> Column:
     """The first twelve digits of the MD5 hash."""
     return F.substring(F.md5(text.cast("binary")), 1, 12)
+
+
+def clock() -> Column:
+    """The time of the query, to the second."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")

@@ -18,6 +18,12 @@ class EmbeddingProvider(Protocol):
     def embed(self, texts: list[str | None]) -> list[list[float] | None]: ...
 
 
+class ChatProvider(Protocol):
+    """Answers for a batch of prompts, null for null. There is no default: a model is an outside service."""
+
+    def answer(self, prompts: list[str | None]) -> list[str | None]: ...
+
+
 class HashingProvider:
     """Signed hashing of words into ``size`` places, to unit length. Deterministic; no semantics beyond shared words."""
 
@@ -50,3 +56,13 @@ def embedded(rows: DataFrame, text: Column, provider: EmbeddingProvider | None =
 
     read = text if prefix is None else F.concat(F.lit(prefix + ": "), text)
     return rows.withColumn("embedding", vectors(read)).withColumn("embedding_kind", F.lit(prefix or "plain"))
+
+
+def answered(rows: DataFrame, prompt: Column, provider: ChatProvider) -> DataFrame:
+    """``rows`` with ``answer``, asked in batches where the rows are."""
+
+    @F.arrow_udf("string")
+    def ask(prompts: pa.Array) -> pa.Array:
+        return pa.array(provider.answer(prompts.to_pylist()), pa.string())
+
+    return rows.withColumn("answer", ask(prompt))

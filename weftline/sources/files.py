@@ -10,7 +10,8 @@ import os
 from collections.abc import Iterator
 from fnmatch import fnmatch
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -74,3 +75,30 @@ class TextFolder(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TextFolder)
+
+
+def write_texts(rows: DataFrame, root: str) -> DataFrame:
+    """Write each (path, content) as a UTF-8 file under ``root`` where its task runs; (path, chars, error) for each.
+
+    The folder of a file must exist, and a path must stay under the root. Lazy, and done again if a task is; rows of one path overwrite each other.
+    """
+    base = os.path.abspath(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chars: list[int | None] = []
+            errors: list[str | None] = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                full = os.path.abspath(os.path.join(base, path or ""))
+                try:
+                    if not full.startswith(base + os.sep):
+                        raise OSError("outside the folder")
+                    with open(full, "w", encoding="utf-8", newline="") as f:
+                        chars.append(f.write(content or ""))
+                    errors.append(None)
+                except OSError as e:
+                    chars.append(None)
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chars, pa.int64()), pa.array(errors, pa.string())], ["path", "chars", "error"])
+
+    return rows.select("path", "content").mapInArrow(run, "path string, chars bigint, error string")
