@@ -107,6 +107,7 @@ def test_required_trigrams_are_in_every_match():
         return not tree[1] or (all if tree[0] == "all" else any)(holds(t, text) for t in tree[1])
 
     compiled = {k: re.compile(p, re.I | re.M) for k, p in RULES.items()}
+    assert set(compiled) >= {"named", "url", "jwt"}
     for line in [*SECRETS, *HARMLESS]:
         for k, p in compiled.items():
             if p.search(line):

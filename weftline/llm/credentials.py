@@ -37,11 +37,9 @@ _IDENT = rf"[\w.$-]*?{NAMES}\d{{0,2}}"
 _VALUE = r"""(?P<v>[^\s"'`<>{}\\]{6,})"""
 
 RULES: dict[str, str] = {
-    # NAME = "v", NAME: v, NAME := v, "NAME": "v", \"NAME\": \"v\", env["NAME"] = 'v', --name=v, get("x-name") == "v"; then getenv('NAME', 'v'), '--name', default='v'
-    "assigned": rf"""(?<![\w$-]){_IDENT}(?:\\?["'`])?[\])]?\s{{0,20}}(?:==?|:=|=>|:)\s{{0,20}}(?:str|bytes)?\(?[rbuf]{{0,2}}(?:\\?["'`]){{0,3}}{_VALUE}""",
-    "argument": rf"""(?<![\w$-]){_IDENT}\\?["'`]\s{{0,20}},\s{{0,20}}(?:default\s{{0,4}}=\s{{0,4}})?[rbuf]{{0,2}}\\?["'`]{{1,3}}{_VALUE}""",
-    # NAME v: netrc, notes, chat
-    "spoken": rf"""(?<![\w$-]){_IDENT}[ \t]{{1,4}}(?:is[ \t]|[-—–][ \t])?["'`]?{_VALUE}""",
+    # NAME = "v", NAME: v, NAME := v, "NAME": "v", \"NAME\": \"v\", env["NAME"] = 'v', --name=v, get("x-name") == "v";
+    # getenv('NAME', 'v'), '--name', default='v'; NAME v, as in notes and chat
+    "named": rf"""{NAMES}\d{{0,2}}(?:(?P<set>(?:\\?["'`])?[\])]?\s{{0,20}}(?:==?|:=|=>|:)\s{{0,20}}(?:str|bytes)?\(?[rbuf]{{0,2}}(?:\\?["'`]){{0,3}})|(?P<given>\\?["'`]\s{{0,20}},\s{{0,20}}(?:default\s{{0,4}}=\s{{0,4}})?[rbuf]{{0,2}}\\?["'`]{{1,3}})|(?P<said>[ \t]{{1,4}}(?:is[ \t]|[-—–][ \t])?["'`]?)){_VALUE}""",
     "netrc": r"""\blogin[ \t]{1,4}\S{1,100}[ \t]{1,4}password[ \t]{1,4}(?P<v>\S{4,100})""",
     "url": r"""[a-z][\w+.-]{1,20}://[^\s/:@"'<>`]{0,200}:(?P<v>[^\s/@"'<>`]{3,200})@""",
     "user_option": r"""curl\b[^\n]{0,300}?[ \t](?:-u|--user)[ =]{1,4}["']?[^\s:"']{1,100}:(?P<v>[^\s"']{4,})""",
@@ -127,6 +125,9 @@ class _Chunk:
             self.at.append(place + (m.end() if m else 0))
             place += len(line) + 1
         self.text = "\n".join(self.lines)
+        low = self.text.lower()
+        # some capitals become two characters; such texts keep them, so that places agree
+        self.low = low if len(low) == len(self.text) else "".join(x if len(x.lower()) > 1 else x.lower() for x in self.text)
         self.starts = [0]
         for line in self.lines[:-1]:
             self.starts.append(self.starts[-1] + len(line) + 1)
@@ -186,7 +187,8 @@ def _over_lines(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
 
     n = len(c.lines)
     for k, line in enumerate(c.lines):
-        if len(line) > 300:
+        last = line.rstrip()[-1:]
+        if len(line) > 300 or not last or last not in "](\\>|-:=+\"'":
             continue
         if _SECTION.fullmatch(line):
             for j in range(k + 1, min(n, k + 12)):
@@ -275,18 +277,20 @@ def _named_values(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
 
 
 _OVER = {"private_key": _private_keys, "over_lines": _over_lines, "table": _tables, "named_value": _named_values}
-_STRICT = {"spoken", "slashed", "quoted_note"}
+_STRICT = {"said", "slashed", "quoted_note"}
+_CASED = {"jwt", "cloud_id"}
 
 
 def _by_rule(rule: str, pattern: re.Pattern, c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
-    for m in pattern.finditer(c.text):
-        begin = m.start("v")
-        value = m["v"]
-        if rule in ("assigned", "argument", "spoken", "user_option", "slashed"):
+    for m in pattern.finditer(c.text if rule in _CASED else c.low):
+        begin, end = m.span("v")
+        value = c.text[begin:end]
+        way = rule if rule != "named" else next(g for g in ("set", "given", "said") if m[g] is not None)
+        if way in ("set", "given", "said", "user_option", "slashed"):
             value = _unwrapped(value)
-        if rule == "assigned" and ("\n" in c.text[m.start() : begin] or "://" in value):
+        if way == "set" and ("\n" in c.text[m.start() : begin] or "://" in value):
             continue
-        if rule == "spoken" and re.search(r"[\w]\(", value):
+        if way == "said" and re.search(r"[\w]\(", value):
             continue
         if rule == "basic":
             good = _decoded_login(value)
@@ -299,26 +303,29 @@ def _by_rule(rule: str, pattern: re.Pattern, c: _Chunk) -> Iterator[tuple[int, i
         elif rule == "login_call":
             good = " " not in value and looks_secret(value)
         else:
-            good = looks_secret(value, rule in _STRICT)
+            good = looks_secret(value, way in _STRICT)
         if good:
             for part in c.parts(begin, begin + len(value)):
                 yield (*part, "value")
 
 
 def _scan(numbered: bool):
-    compiled = {k: re.compile(p, re.IGNORECASE | re.MULTILINE) if k not in ("jwt", "cloud_id") else re.compile(p) for k, p in RULES.items()}
+    # on texts in lower case, as matching without regard to case can't use the first letters
+    compiled = {k: re.compile(p, re.MULTILINE) for k, p in RULES.items()}
+    loose = re.compile(r"(?m)^(?:[0-9]+: )?[ \t]*[A-Za-z0-9+/]{40,}={0,2}[\"']{0,3}\r?$")
     trees = {k: required(p) for k, p in {**RULES, **CHECKS}.items()}
     wanted = Wanted(list(trees.values()))
 
     def found(stored: str, rules: set[str]) -> set[tuple[int, int, int, str]]:
         c = _Chunk(stored, numbered)
-        out: set[tuple[int, int, int, str]] = set(_private_keys(c))
+        out: set[tuple[int, int, int, str]] = set()
+        if "-----" in stored or "PuTTY" in stored or "Private-" in stored or loose.search(stored):
+            out.update(_private_keys(c))
         for rule in sorted(rules - {"private_key"}):
             out.update(_OVER[rule](c) if rule in _OVER else _by_rule(rule, compiled[rule], c))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loose = re.compile(r"(?m)^(?:[0-9]+: )?[ \t]*[A-Za-z0-9+/]{40,}={0,2}[\"']{0,3}\r?$")
         for batch in batches:
             ids, paths, texts = (c.to_pylist() for c in batch.columns)
             out: list[list] = [[], [], [], [], [], []]

@@ -97,6 +97,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return fact_history.rejected(table(spark, folder, "agent_memory"), "mem_id", "content", "batch_no").select(F.col("id").alias("mem_id"))
 
 
+def p5_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fact with its batch and the decision."""
+    facts = table(spark, folder, "agent_memory")
+    out = fact_history.rejected(facts, "mem_id", "content", "batch_no").select(F.col("id").alias("mem_id"), F.lit(False).alias("accepted"))
+    return facts.select("mem_id", "batch_no").join(out, "mem_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(True)))
+
+
 def p5_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Per batch, how many facts are accepted and how many rejected."""
     facts = table(spark, folder, "agent_memory")
@@ -165,7 +172,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_facts": p5_facts, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 _CLEAN = r"regexp_replace(documents, '(^|\n)[0-9]+: ', '\1', 'g')"
