@@ -53,15 +53,15 @@ def span_rows():
         k, j = r.randrange(len(a)), r.randrange(len(b))
         text = (header if i % 3 == 0 else "") + a[k : k + r.randrange(20, 140)] + "\n" + " ".join(words(100 + i, 8)) + "\n" + b[j : j + r.randrange(20, 140)]
         rows.append((numbered(text), f"f{i % 25}" if i % 7 else f".\\f{i % 25}"))
-    rows += [(None, "n"), ("", "e"), ("1: ", "e2"), ("1: " + "x" * 30000, "long"), ("1: " + "x" * 500, "long2"), (numbered(header * 3), None), (numbered(header * 3), None), ("1: " + "ab" * 400, "p1"), ("5: " + "ab" * 300, "p2")]
+    rows += [(None, "n"), ("", "e"), ("1: ", "e2"), ("1: " + "x" * 30000, "long"), ("1: " + "x" * 500, "long2"), (numbered(header * 3), None), (numbered(header * 3, 9), None), (numbered("own " * 40), "q"), (numbered("own " * 40, 5), "./q"), (numbered("two " * 40), "q1"), (numbered("two " * 40, 3), "q2"), ("1: " + "ab" * 400, "p1"), ("5: " + "ab" * 300, "p2")]
     return rows
 
 
-@pytest.mark.parametrize("crowded", [5000, 5])
-def test_spans(spark, crowded):
+@pytest.mark.parametrize(("crowded", "held"), [(5000, 100), (5, 10**6), (5, 10)])
+def test_spans(spark, crowded, held):
     rows = span_rows()
     df = spark.createDataFrame(chunk_rows(rows), CHUNKS)
-    found = shared_spans(df, "row_id", "documents", same_path(F.col("path")), span=60, phrase=20, numbered=True, crowded=crowded).collect()
+    found = shared_spans(df, "row_id", "documents", same_path(F.col("path")), span=60, phrase=20, numbered=True, crowded=crowded, held=held).collect()
     assert {r["id"]: r["shared"] for r in found} == brute_spans(rows, 60)
     for r in found:
         assert all(s["end"] - s["begin"] >= 60 for s in r["spans"])

@@ -25,13 +25,16 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.codepoints import Block, blocks, span_hash, strip_line_numbers
 from weftline.sources.tables import durable
 
-_FIRST = "owner bigint, id bigint, phrase bigint, at int"
+_FIRST = "owner bigint, id bigint, phrase bigint, at int, more bigint"
+#: Windows of crowded phrases that are held by every task (8 bytes each); beyond, they are joined.
+HELD = 2_000_000
 _RUN = pa.schema([("phrase", pa.int64()), ("crowded", pa.bool_()), ("id", pa.int64()), ("owner", pa.int64()), ("begin", pa.int32()), ("run", pa.string())])
 _SPAN = pa.schema([("id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
@@ -81,9 +84,10 @@ def _picked(block: Block, span: int, phrase: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _phrases(span: int, phrase: int, numbered: bool):
-    schema = pa.schema([("owner", pa.int64()), ("id", pa.int64()), ("phrase", pa.int64()), ("at", pa.int32())])
+    schema = pa.schema([("owner", pa.int64()), ("id", pa.int64()), ("phrase", pa.int64()), ("at", pa.int32()), ("more", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per phrase; and one per text, with its hash in two columns and its length, negative, as the place."""
         for batch in batches:
             ids, owners = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             texts = batch.column(2).to_pylist()
@@ -92,8 +96,20 @@ def _phrases(span: int, phrase: int, numbered: bool):
             for at, block in blocks(texts):
                 place, h = _picked(block, span, phrase)
                 text = np.searchsorted(block.start, place, side="right") - 1
+                long = np.flatnonzero(block.length >= span)
+                whole = [xxhash.xxh3_128_intdigest(block.codes[b : b + n].tobytes()) for b, n in zip(block.start[long].tolist(), block.length[long].tolist())]
+                low = np.array([w & 0xFFFFFFFFFFFFFFFF for w in whole], np.uint64).view(np.int64)
+                high = np.array([w >> 64 for w in whole], np.uint64).view(np.int64)
+                rows = at[np.concatenate((text, long))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(owners[at[text]]), pa.array(ids[at[text]]), pa.array(h.view(np.int64)), pa.array((place - block.start[text]).astype(np.int32))], schema=schema
+                    [
+                        pa.array(owners[rows]),
+                        pa.array(ids[rows]),
+                        pa.array(np.concatenate((h.view(np.int64), low))),
+                        pa.array(np.concatenate((place - block.start[text], -block.length[long])).astype(np.int32)),
+                        pa.array(np.concatenate((np.zeros(len(h), np.int64), high))),
+                    ],
+                    schema=schema,
                 )
 
     return run
@@ -194,22 +210,66 @@ def _matched(span: int):
     return run
 
 
+def _few_windows(span: int):
+    """The distinct windows of some runs with the least and the greatest owner: the map side of the group-by."""
+    schema = pa.schema([("window", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = _window_hashes(batch.column(3).to_pylist(), span)
+            if not len(h):
+                continue
+            own = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), n)
+            order = np.argsort(h)
+            h, own = h[order], own[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first))], schema=schema)
+
+    return run
+
+
+def _held(span: int, windows):
+    """Spans of runs by a set of windows that all tasks hold, in ascending order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = windows.value
+        for batch in batches:
+            h, n = _window_hashes(batch.column(3).to_pylist(), span)
+            at = np.minimum(np.searchsorted(shared, h), max(len(shared) - 1, 0))
+            flags = shared[at] == h if len(shared) else np.zeros(len(h), bool)
+            yield _spans_of(flags, n, batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), span)
+
+    return run
+
+
 def _each_window(span: int):
-    schema = pa.schema([("id", pa.int64()), ("owner", pa.int64()), ("begin", pa.int32()), ("window", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("begin", pa.int32()), ("window", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for offset in range(0, whole.num_rows, 1000):
                 batch = whole.slice(offset, 1000)
                 h, n = _window_hashes(batch.column(3).to_pylist(), span)
-                ids, owners, begins = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in range(3))
-                begins = begins + np.arange(len(h)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(owners), pa.array(begins.astype(np.int32)), pa.array(h.view(np.int64))], schema=schema)
+                ids, begins = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in (0, 2))
+                begins = begins + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(begins.astype(np.int32)), pa.array(h.view(np.int64))], schema=schema)
 
     return run
 
 
-def shared_spans(records: DataFrame, id: str, text: str, owner: Column, span: int = 200, phrase: int = 40, numbered: bool = False, crowded: int = 5000) -> DataFrame:
+def _crowded_spans(runs: DataFrame, span: int, held: int) -> DataFrame:
+    """(id, begin, end) for runs of phrases too common for one task each."""
+    runs = runs.select("id", "owner", "begin", "run")
+    few = runs.mapInArrow(_few_windows(span), "window bigint, lo bigint, hi bigint").groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    twice = durable(few.where("lo <> hi").select("window"))
+    if twice.count() <= held:
+        windows = np.sort(np.array([r[0] for r in twice.collect()], np.int64).view(np.uint64))
+        return runs.mapInArrow(_held(span, runs.sparkSession.sparkContext.broadcast(windows)), "id bigint, begin int, end int")
+    each = runs.mapInArrow(_each_window(span), "id bigint, begin int, window bigint")
+    return each.join(twice, "window").select("id", "begin", (F.col("begin") + span).cast("int").alias("end"))
+
+
+def shared_spans(records: DataFrame, id: str, text: str, owner: Column, span: int = 200, phrase: int = 40, numbered: bool = False, crowded: int = 5000, held: int = HELD) -> DataFrame:
     """(id, spans, shared): the records that share spans of at least ``span`` characters with a record of another owner.
 
     ``spans`` are the maximal stretches [begin, end) of the text, in code points and
@@ -218,28 +278,36 @@ def shared_spans(records: DataFrame, id: str, text: str, owner: Column, span: in
     don't come out. Null texts share nothing; texts shorter than ``span``
     neither; a null owner is an owner like any other; repeated rows of one owner don't make a span
     shared; rows with one id are taken as one record. Extra columns are ignored.
-    ``crowded``: the number of occurrences from which a phrase is matched by group-by.
+    ``crowded``: the number of occurrences from which a phrase is matched by group-by; ``held``: the number of
+    its shared windows up to which every task gets them all.
+
+    Equal texts are one: if two owners have it, all of it is shared, and towards others it counts as
+    an owner of its own; otherwise its records share what the first of them shares.
     """
     wanted = records.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(F.coalesce(owner, F.lit("\0"))).alias("owner"), F.col(text).alias("text"))
     wanted = wanted.where("text is not null and id is not null")
     picked = durable(wanted.where(F.length("text") >= span).mapInArrow(_phrases(span, phrase, numbered), _FIRST))
-    recurring = picked.groupBy("phrase").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.count("*").alias("n"))
+    texts = picked.where("at < 0")
+    groups = texts.groupBy("phrase", "more").agg(F.min("id").alias("rep"), F.min("owner").alias("lo"), F.max("owner").alias("hi"), (-F.min("at")).alias("length"))
+    many = F.col("lo") != F.col("hi")
+    groups = groups.select("phrase", "more", "rep", "length", many.alias("many"), F.when(many, F.xxhash64("phrase", "more")).otherwise(F.col("lo")).alias("owner"))
+    members = durable(texts.select("id", "phrase", "more").join(groups, ["phrase", "more"]).select("id", "rep", "length", "many", "owner"))
+    reps = members.where("id = rep").select("id", "owner")
+
+    phrases = picked.where("at >= 0").drop("owner", "more").join(reps, "id")
+    recurring = phrases.groupBy("phrase").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.count("*").alias("n"))
     recurring = durable(recurring.where("lo <> hi").select("phrase", (F.col("n") > crowded).alias("crowded")))
-    hits = picked.join(recurring, "phrase").groupBy("id").agg(F.collect_list(F.struct("at", "phrase", "crowded")).alias("hits"))
-    streamed = wanted.join(hits, "id").select("id", "owner", "text", "hits")
+    hits = phrases.join(recurring, "phrase").groupBy("id").agg(F.first("owner").alias("owner"), F.collect_list(F.struct("at", "phrase", "crowded")).alias("hits"))
+    streamed = wanted.drop("owner").join(hits, "id").select("id", "owner", "text", "hits")
     runs = streamed.mapInArrow(_runs(span, phrase, numbered, 2000), "phrase bigint, crowded boolean, id bigint, owner bigint, begin int, run string")
 
     parts = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + recurring.count() // 20000)
-    form = "id bigint, begin int, end int"
     if recurring.where("crowded").isEmpty():
-        spans = runs.repartition(parts, "phrase").select("id", "owner", "begin", "run").mapInArrow(_matched(span), form)
+        spans = runs.repartition(parts, "phrase").select("id", "owner", "begin", "run").mapInArrow(_matched(span), "id bigint, begin int, end int")
     else:
         runs = durable(runs)
-        spans = runs.where("not crowded").repartition(parts, "phrase").select("id", "owner", "begin", "run").mapInArrow(_matched(span), form)
-        each = runs.where("crowded").select("id", "owner", "begin", "run").mapInArrow(_each_window(span), "id bigint, owner bigint, begin int, window bigint")
-        twice = each.groupBy("window").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo <> hi").select("window")
-        more = each.join(twice, "window").select("id", "begin", (F.col("begin") + span).cast("int").alias("end"))
-        spans = spans.unionByName(more)
+        spans = runs.where("not crowded").repartition(parts, "phrase").select("id", "owner", "begin", "run").mapInArrow(_matched(span), "id bigint, begin int, end int")
+        spans = spans.unionByName(_crowded_spans(runs.where("crowded"), span, held))
     listed = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("parts"))
     # neighbouring stretches are one span where they leave no window out: the next begins at most one place after the last window of the one before
     merged = F.aggregate(
@@ -262,4 +330,7 @@ def shared_spans(records: DataFrame, id: str, text: str, owner: Column, span: in
         ),
         lambda a: a["total"],
     )
-    return listed.select("id", merged.alias("spans")).withColumn("shared", covered)
+    found = listed.select(F.col("id").alias("rep"), merged.alias("spans"))
+    whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("length").alias("end")))
+    each = members.join(found, "rep", "left").select("id", F.when(F.col("many"), whole).otherwise(F.col("spans")).alias("spans"))
+    return each.where("spans is not null").withColumn("shared", covered)
