@@ -187,6 +187,23 @@ def test_leaks(spark):
     assert leaks(d.where("false"), t).count() == 0 and leaks(d, t.where("false")).count() == 0
 
 
+def test_leaks_beside_other_words(spark):
+    # runs that weigh little in their windows: of words that all documents have, beside those of another passage
+    common = words(3, 12)
+    passages = [words(100 + i, 40) for i in range(30)]
+    passages[5][7:19] = common
+    passages[6][28:40] = common
+    rows = [(i, " ".join([*words(900 + i, 6), *(w for w in reversed(common)), *words(700 + i, 9)])) for i in range(200)]
+    for k in (0, 5, 12):
+        rows.append((1000 + k, " ".join([*passages[9][:k], *common, *passages[9][k:12]])))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    t = spark.createDataFrame([(i, " ".join(w), None, None) for i, w in enumerate(passages)], "item_id bigint, passage string, query string, expected array<string>")
+    for paraphrases in (False, True):
+        found = leaks(d, t, paraphrases=paraphrases).where("kind = 'run'").collect()
+        assert {(x["doc_id"], x["item_id"], x["first"]) for x in found if x["item_id"] in (5, 6)} == {(1000 + k, i, at) for k in (0, 5, 12) for i, at in ((5, 7), (6, 28))}
+        assert min(x["cosine"] for x in found) < 0.45
+
+
 def test_paraphrases(spark):
     src = words(1, 48)
     near = [w if i % 9 else "other" for i, w in enumerate(src)]

@@ -7,7 +7,9 @@ every ``run`` words, so any stretch of ``run`` words lies whole in one window of
 2. The passages' windows are TF-IDF rows. A randomised SVD, whose products with the
    rows are Spark jobs summing over partitions, gives the ``rank`` strongest directions.
 3. A pass over all documents projects their windows into this space; windows whose
-   cosine with a window of a passage reaches ``cosine`` are candidates.
+   cosine with a window of a passage reaches ``cosine`` are candidates. Beside other words a run can weigh
+   too little for that; so stretches of ``run`` words that are one of a passage's, which have the
+   cosine 1 by themselves, make candidates of the windows around them.
 4. Candidates are checked word by word: a common run of ``run`` words is a leak; in
    paraphrases the longest common subsequence decides, and whether the answer stands in the document.
 
@@ -85,7 +87,20 @@ class Items:
         starts = np.searchsorted(text, np.arange(len(rows)))
         keys = self.key(text[whole], seq[whole])
         order = np.argsort(keys, kind="stable")
-        self.keys, self.places = keys[order], (whole - starts[text[whole]])[order]
+        places = whole - starts[text[whole]]
+        self.keys, self.places = keys[order], places[order]
+        # every stretch of run words with a window that holds it; a last half is held by the window before
+        last = np.searchsorted(self.window_item, text[whole], side="right") - 1
+        order = np.argsort(seq[whole], kind="stable")
+        self.stretches = seq[whole][order]
+        self.stretch_window = np.minimum(np.searchsorted(self.window_item, text[whole]) + places // run, last)[order]
+
+    def meetings(self, sequences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the sequences are stretches of passages, and the windows that hold these."""
+        lo, hi = np.searchsorted(self.stretches, sequences), np.searchsorted(self.stretches, sequences, side="right")
+        n = hi - lo
+        which = np.repeat(np.arange(len(sequences)), n)
+        return which, self.stretch_window[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     @staticmethod
     def key(item: np.ndarray, sequence: np.ndarray) -> np.ndarray:
@@ -186,12 +201,12 @@ def _search(items: Items, shared, run_words: int, cosine: float, paraphrases: bo
                 ends = np.append(first[1:], len(word))
                 two = (half + 1 < len(owner)) & (owner[np.minimum(half + 1, len(owner) - 1)] == owner[half])
                 stop = np.where(two, ends[np.minimum(half + 1, len(owner) - 1)], ends[half])
+                # a common run is a run of words of the passages
+                begins = np.flatnonzero(known[run_words:] - known[:-run_words] == run_words)
+                begins = begins[text[begins] == text[begins + run_words - 1]] if len(begins) else begins
                 if paraphrases:
                     keep = known[stop] - known[first[half]] >= run_words
                 else:
-                    # a common run is a run of words of the passages
-                    begins = np.flatnonzero(known[run_words:] - known[:-run_words] == run_words)
-                    begins = begins[text[begins] == text[begins + run_words - 1]] if len(begins) else begins
                     runs = np.zeros(len(word) + 1, np.int64)
                     runs[begins + 1] = 1
                     runs = np.cumsum(runs)
@@ -200,6 +215,11 @@ def _search(items: Items, shared, run_words: int, cosine: float, paraphrases: bo
                     continue
                 half, two, stop = half[keep], two[keep], stop[keep]
                 sequence = _sequences(hashes, run_words)
+                met, met_q = items.meetings(sequence[begins])
+                met_w = np.searchsorted(first, begins[met], side="right") - 1
+                only = np.append(True, owner[1:] != owner[:-1])[met_w]
+                final = np.append(owner[1:] != owner[:-1], True)[met_w]
+                met_w = np.searchsorted(half, met_w - (final & ~only))  # a last half is held by the window before
                 for lo in range(0, len(half), 1024):
                     h, t, s = half[lo : lo + 1024], two[lo : lo + 1024], stop[lo : lo + 1024]
                     needed, place = np.unique(np.concatenate((h, h[t] + 1)), return_inverse=True)
@@ -211,7 +231,10 @@ def _search(items: Items, shared, run_words: int, cosine: float, paraphrases: bo
                     x[t] += sums[place[len(h) :]]
                     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
                     close = x @ passages
-                    w, q = np.nonzero(close >= cosine)
+                    candidate = close >= cosine
+                    here = (met_w >= lo) & (met_w < lo + len(h))
+                    candidate[met_w[here] - lo, met_q[here]] = True
+                    w, q = np.nonzero(candidate)
                     if not len(w):
                         continue
                     degree = close[w, q]
