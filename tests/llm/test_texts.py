@@ -248,6 +248,26 @@ def test_mixture(spark):
     assert empty.selection.count() == 0 and empty.shares().count() == 4
 
 
+def test_mixture_goes_on_without_a_source_that_is_used_up(spark):
+    docs = [(i, " ".join(words(i, 30)), "ab"[i % 2]) for i in range(300)] + [(900 + i, " ".join(words(i, 30)), "small") for i in range(3)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("small", 0.2, 2)], "source string, target_share double, max_repeats int")
+    mix = mixing.Mixture(d, targets, tokenizer_file(), block=128, whole=True)
+    rows = mix.selection.collect()
+    stock = sum(s.tokens for s in mix.sources)
+    assert abs(sum(x["tokens"] for x in rows) - stock) < 4 * 128
+    shares = {x["source"]: x for x in mix.shares().collect()}
+    small = shares["small"]
+    assert small["used_up"] and small["uses"] == 6 and small["shortfall"] == round(0.2 * sum(x["tokens"] for x in rows) - small["tokens"]) > 0
+    assert abs(shares["a"]["tokens"] / shares["b"]["tokens"] - 5 / 3) < 0.1 and not shares["a"]["used_up"] and not shares["b"]["used_up"]
+    assert all(x["most_uses"] <= x["max_repeats"] for x in shares.values())
+    taken = {}
+    for x in rows:
+        taken.setdefault(x["slot"], set()).add((x["source"], x["block"]))
+    # a block in which no record begins has no row
+    assert all(len(s) == 1 for s in taken.values()) and max(taken) < mix.slots and len(taken) > 0.9 * mix.slots
+
+
 def test_best_and_all_segments():
     import numpy as np
 

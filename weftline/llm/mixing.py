@@ -4,7 +4,8 @@ Every source's records, in an order by hash and once per pass, are cut into bloc
 ``block`` tokens. Block k of a source with weight w has the release time
 floor((k - 1) / w) and the deadline ceil(k / w); in each slot the released block with
 the earliest deadline goes next. The weights sum to 1, so every deadline is met, and at each
-slot a source's blocks so far differ from its weight times the slots by less than one.
+slot a source's blocks so far differ from its weight times the slots by less than one. A source
+that is used up at its repeat cap drops out of the order; the others go on in proportion.
 
 Weights are whole multiples of 1 / ``PERIOD``, so the order repeats after at most PERIOD
 slots. Only this pattern is worked out ahead; it depends on the weights and not on the
@@ -14,6 +15,7 @@ records, whose blocks get their slots from it by a join.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -105,16 +107,17 @@ class Mixture:
     ``documents``: doc_id, text, source; ``targets``: source, target_share,
     max_repeats. Sources without a target, and targets that are null or not above 0, take no
     part; listed sources without tokens can't be served, and the shares of the others are
-    raised in proportion. A null ``max_repeats`` is 1. The mixture is as large as it can be without any
-    record being used more often than its source allows, in whole blocks, or ``total``
-    tokens if that is less. Null and empty texts have no tokens and aren't used. Rows with one
+    raised in proportion. A null ``max_repeats`` is 1. No record is used more often than its source allows.
+    ``total`` is the size in tokens, in whole blocks; ``whole``: it is all tokens of the listed
+    sources. A source that is used up before drops out, and ``shares`` tells what it lacks. Without either, the
+    mixture is as large as it can be with every source at its share. Null and empty texts have no tokens and aren't used. Rows with one
     doc_id are records of their own. Extra columns are ignored.
 
     ``selection``: (doc_id, source, pass, tokens, block, slot), one row per use of a record; sorted by
     slot it is the mixture. ``shares``: per target, what was aimed at and reached.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, tokenizer: str, block: int = 4096, total: int | None = None):
+    def __init__(self, documents: DataFrame, targets: DataFrame, tokenizer: str, block: int = 4096, total: int | None = None, whole: bool = False):
         spark = documents.sparkSession
         wanted = targets.where("target_share > 0 and source is not null").groupBy(F.lower(F.trim("source")).alias("source"))
         wanted = wanted.agg(F.sum("target_share").alias("target"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
@@ -134,13 +137,27 @@ class Mixture:
         divisor = gcd(*(s.parts for s in present))
         per = [s.parts // divisor for s in present]
         period = sum(per)
-        most = min(s.tokens * s.max_repeats / s.parts for s in present) * PERIOD
         order = pattern(per)
-        size = int(min(most, total if total is not None else most))
-        self.slots = max(0, size // block - 1)
-        places = [(s.name, j, slot, per[i], period) for i, s in enumerate(present) for j, slot in enumerate(k for k, x in enumerate(order) if x == i)]
-        turns = spark.createDataFrame(places, "source string, turn int, at bigint, per int, period int")
-        passes = [(s.name, p) for i, s in enumerate(present) for p in range(min(s.max_repeats, int(self.slots / period * per[i] + per[i]) * block // s.tokens + 1))]
+        before = [[0] * len(per)]  # blocks of each source before each place of the period
+        for x in order:
+            before.append([n + (i == x) for i, n in enumerate(before[-1])])
+        caps = [-(-s.tokens * s.max_repeats // block) for s in present]
+
+        def blocks_in(turns: int) -> list[int]:
+            return [min(cap, turns // period * n + ahead) for cap, n, ahead in zip(caps, per, before[turns % period])]
+
+        if whole:
+            total = sum(s.tokens for s in present)
+        if total is None:
+            turns_taken = max(0, int(min(s.tokens * s.max_repeats / s.parts for s in present) * PERIOD) // block - 1)
+        else:  # turns of sources that are used up are passed over; slots count the others
+            last = (max(-(-cap // n) for cap, n in zip(caps, per)) + 1) * period
+            turns_taken = bisect_right(range(last + 1), total // block, key=lambda t: sum(blocks_in(t))) - 1
+        taken = blocks_in(turns_taken)
+        self.slots = sum(taken)
+        places = [(s.name, j, at, per[i], period, before[at], taken[i]) for i, s in enumerate(present) for j, at in enumerate(k for k, x in enumerate(order) if x == i)]
+        turns = spark.createDataFrame(places, "source string, turn int, at bigint, per int, period int, before array<bigint>, taken bigint")
+        passes = [(s.name, p) for s, n in zip(present, taken) for p in range(min(s.max_repeats, n * block // s.tokens + 1))]
         uses = sizes.join(spark.createDataFrame(passes, "source string, pass int"), "source")
 
         # sums over stretches of the order by hash first, so that no source is one task
@@ -154,17 +171,34 @@ class Mixture:
         placed = placed.withColumn("block", F.floor((F.col("ahead") + F.col("inside")) / block))
         per_source = spark.createDataFrame([(s.name, n) for s, n in zip(present, per)], "source string, own int")
         placed = placed.join(per_source, "source").withColumn("turn", F.pmod(F.col("block"), F.col("own").cast("bigint")).cast("int"))
-        slotted = placed.join(turns, ["source", "turn"]).withColumn("slot", F.floor(F.col("block") / F.col("per")) * F.col("period") + F.col("at"))
-        slotted = slotted.where(F.col("slot") < self.slots)
+        slotted = placed.join(turns, ["source", "turn"]).where("block < taken")
+        cycle = F.floor(F.col("block") / F.col("per"))
+        slotted = slotted.withColumn("slot", sum((F.least(cycle * n + F.col("before")[i], F.lit(caps[i])) for i, n in enumerate(per)), F.lit(0)))
         self.selection = slotted.select(F.col("id").alias("doc_id"), "source", "pass", "tokens", F.col("block").cast("bigint").alias("block"), F.col("slot").cast("bigint").alias("slot"))
 
     def shares(self) -> DataFrame:
-        """(source, target_share, served_share, actual_share, tokens, uses, records, most_uses, max_repeats) per target."""
+        """(source, target_share, served_share, actual_share, tokens, uses, records, most_uses, max_repeats, used_up, shortfall) per target.
+
+        ``used_up``: every record is used as often as it may be. ``shortfall``: tokens that
+        the source lacks to its target share of the mixture.
+        """
         spark = self.selection.sparkSession
-        aim = spark.createDataFrame([(s.name, s.target, s.parts / PERIOD, s.max_repeats) for s in self.sources], "source string, target_share double, served_share double, max_repeats int")
+        all_targets = sum(s.target for s in self.sources)
+        rows = [(s.name, s.target, s.parts / PERIOD, s.max_repeats, s.target / all_targets, s.records * s.max_repeats) for s in self.sources]
+        aim = spark.createDataFrame(rows, "source string, target_share double, served_share double, max_repeats int, due double, most bigint")
         each = self.selection.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
         got = each.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("uses"), F.count("*").alias("records"), F.max("n").alias("most_uses"))
         whole = got.agg(F.sum("tokens").alias("whole"))
         out = aim.join(got, "source", "left").join(whole)
         zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tokens", "uses", "records", "most_uses")]
-        return out.select("source", "target_share", "served_share", F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), *zero, "max_repeats")
+        lacking = F.greatest(F.lit(0), F.round(F.col("due") * F.coalesce("whole", F.lit(0)) - F.coalesce("tokens", F.lit(0)))).cast("bigint")
+        return out.select(
+            "source",
+            "target_share",
+            "served_share",
+            F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"),
+            *zero,
+            "max_repeats",
+            (F.coalesce("uses", F.lit(0)) == F.col("most")).alias("used_up"),
+            lacking.alias("shortfall"),
+        )

@@ -158,7 +158,7 @@ def tokenizer_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
 
 
 def _mixture(spark: SparkSession, folder: str) -> Mixture:
-    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), tokenizer_file(), block=1024)
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), tokenizer_file(), block=1024, whole=True)
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,7 +167,7 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Per source, the share aimed at and the share reached."""
+    """Per source, the share aimed at, the share reached and what a source lacks that is used up."""
     return _mixture(spark, folder).shares()
 
 
