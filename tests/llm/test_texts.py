@@ -70,6 +70,46 @@ def test_credentials_over_lines(spark):
     assert sorted({r["line_no"] for r in found.collect()}) == [2, 3, 8, 10, 13]
 
 
+def test_credentials_with_names_on_one_line(spark):
+    one = '[{"name":"DB_PASSWORD","value":"${DB_PASSWORD}"},{"name":"API_KEY","value":"q8Zr2LmX0vT4"},{"name":"HOST","value":"abc123xyz"},{"value":"w7Tr0ub4dor","name":"AUTH_TOKEN"}]'
+    filler = ",".join('{"name":"HOST","value":"abc123xyz"}' for _ in range(300))
+    mixed = '{"items":[{"name":"API_KEY","x":"}","meta":{"value":"z9Kq3LmX1vT5"}},{"name":"HOST","value":"abc123xyz"}]}'
+    after = "- name: DB_PASSWORD value: hunter2hunter other value: abc123xyz"
+    texts = [numbered(x) for x in (one, one[:-1] + "," + filler + "," + one[1:], mixed, after)]
+    df, found = hits(spark, texts)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["id"], []).append(texts[r["id"] - 1][r["begin"] : r["end"]])
+    pair = ["q8Zr2LmX0vT4", "w7Tr0ub4dor"]
+    assert {i: sorted(v) for i, v in got.items()} == {1: pair, 2: sorted(pair * 2), 3: ["z9Kq3LmX1vT5"], 4: ["hunter2hunter"]}
+    hidden = {r["id"]: r["text"] for r in redacted(df, "row_id", "documents", found).collect()}
+    assert not any(x in t for x in pair for t in hidden.values()) and hidden[2].count("abc123xyz") == 302
+
+
+def test_credentials_over_long_lines(spark):
+    pad = " " * 3000
+    late = "\n".join(f"note{i} = 1" for i in range(20))
+    parts = f'x{"y" * 400} api_key = (\n{pad}"AKIAA4ENF6"\n    "WREQNG7KQ3"\n)\n[db_password]\n{late}\nvalue = "Zq8Trs226HUHB"\n| login | pass | {pad}\n|---|---|---|\n| bob | tor@tendri38 | {pad}|\n'
+    lines = parts.split("\n")
+    lines[lines.index(f"| login | pass | {pad}")] += "|"
+    _, found = hits(spark, [numbered("\n".join(lines))])
+    assert sorted({r["line_no"] for r in found.collect()}) == [2, 3, 26, 29]
+
+
+def test_line_checks_take_time_in_proportion():
+    import time
+
+    from weftline.llm.credentials import _named_values, _over_lines, _tables, _Chunk
+
+    n = 200_000
+    for line in ("a.a." * (n // 4) + "(", "key=" + " " * n + "x=", "key = '" + "a" * n + "' " + " " * n + "x'", "|" + "-" * n + "x|", "| " * n, '{"name":"' + "a-" * n, "{" * n + '"name":"API_KEY","value":"q8Zr2LmX"', "}" * n + 'name:key value:q8Zr2LmX', "name:key," * n + "value:q8Zr2LmX", "key=" * n + "+"):
+        c = _Chunk("\n".join([line, line]), False)
+        for check in (_named_values, _over_lines, _tables):
+            began = time.process_time()
+            list(check(c))
+            assert time.process_time() - began < 8, (line[:20], check.__name__)
+
+
 def test_key_blocks_over_chunks(spark):
     lines = ["code()", *KEY, "more()", *PUBLIC]
     cuts = [lines[:4], lines[4:8], lines[8:14], lines[14:18], lines[18:]]

@@ -73,15 +73,17 @@ _SHORT = re.compile(r"[ \t]*[\"']?[A-Za-z0-9+/]{2,}={0,2}(?:\\n)?[\"']{0,3}[,;]?
 _HEADER = re.compile(r"[ \t]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID|Private-Lines|Public-Lines|Private-MAC|Encryption|Key-Derivation|Argon2-\w+)\s*:.*|[ \t]*\r?")
 _OPEN = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----|PuTTY-User-Key-File-\d")
 _CLOSE = re.compile(r"-----END ([A-Z0-9 ]*)-----|Private-MAC:")
-_PIECE = re.compile(r"""[ \t]*(?:\+[ \t]*)?[rbuf]{0,2}["'](?P<v>[^\s"']{5,})["'][ \t]*(?:\+|\\|,)?[ \t]*\)?[ \t]*""")
-_NAME_OPENS = re.compile(rf"""(?i).*?(?<![\w$-]){_IDENT}["']?\]?[ \t]*(?::=|[:=])[ \t]*(?:\(|\\|>-?|\|-?|["']{{3}}|)[ \t]*(?:[rbuf]{{0,2}}["'](?P<v>[^\s"']{{5,}})["'][ \t]*[\\+]?)?[ \t]*""")
+# These run on lines of any length, so they take time in proportion: blanks are matched once, and a search begins at the name.
+_PIECE = re.compile(r"""[ \t]*+(?:\+[ \t]*+)?[rbuf]{0,2}["'](?P<v>[^\s"']{5,})["'][ \t]*+(?:\+|\\|,)?[ \t]*+\)?[ \t]*+""")
+_NAME_OPENS = re.compile(rf"""(?i){NAMES}\d{{0,2}}["']?\]?[ \t]*+(?::=|[:=])[ \t]*+(?:\(|\\|>-?|\|-?|["']{{3}}|)[ \t]*+(?:[rbuf]{{0,2}}["'](?P<v>[^\s"']{{5,}})["'][ \t]*+[\\+]?)?[ \t]*+\Z""")
 _SECTION = re.compile(rf"(?i)[ \t]*\[+[\"']?{_IDENT}[\"']?\]+[ \t]*")
 _ANY_SECTION = re.compile(r"[ \t]*\[+[\w.\"'-]+\]+[ \t]*")
 _SECTION_VALUE = re.compile(r"""[ \t]*(?:value|default|data|text|content)[ \t]*[:=][ \t]*["']{0,3}(?P<v>[^\s"']{5,})["']{0,3}[ \t]*""")
 _ROW = re.compile(r"[ \t]*\|(.+)\|[ \t]*\r?")
-_RULER = re.compile(r"[ \t]*\|[ \t:|-]*-[ \t:|-]*\|[ \t]*\r?")
+_RULER = re.compile(r"(?=[^-]*-)[ \t]*+\|[ \t:|-]*\|[ \t]*+\r?")
 _NAME_CELL = re.compile(rf"(?i)[\w .-]*?{NAMES}\d?")
 _NAMED = re.compile(rf"""(?i)(?:-[ \t]*)?(?:\{{[ \t]*)?["']?(?:name|key|variable|env)["']?\s*[:=]\s*["']?{_IDENT}["']?\s*,?""")
+_ANY_NAMED = re.compile(r"""(?i)(?:name|key|variable|env)["']?\s*[:=]""")
 _NAMED_VALUE = re.compile(r"""["']?(?:value|default)["']?\s*[:=]\s*["']?(?P<v>[^\s"',}]{5,})""")
 
 _HIT = pa.schema([("id", pa.int64()), ("path", pa.string()), ("line_no", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
@@ -188,28 +190,28 @@ def _over_lines(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
     n = len(c.lines)
     for k, line in enumerate(c.lines):
         last = line.rstrip()[-1:]
-        if len(line) > 300 or not last or last not in "](\\>|-:=+\"'":
+        if not last or last not in "](\\>|-:=+\"'":
             continue
         if _SECTION.fullmatch(line):
-            for j in range(k + 1, min(n, k + 12)):
+            for j in range(k + 1, n):
                 if _ANY_SECTION.fullmatch(c.lines[j]):
                     break
-                if len(c.lines[j]) <= 2000 and (m := _SECTION_VALUE.fullmatch(c.lines[j])) and looks_secret(m["v"]):
+                if (m := _SECTION_VALUE.fullmatch(c.lines[j])) and looks_secret(m["v"]):
                     yield hit(j, m)
             continue
-        m = _NAME_OPENS.fullmatch(line)
+        m = _NAME_OPENS.search(line)
         if not m:
             continue
         pieces = [(k, m)] if m["v"] else []
         j = k + 1
         if line.rstrip().endswith("("):  # another statement may stand in between
-            j = next((i for i in range(k + 1, min(n, k + 4)) if len(c.lines[i]) <= 2000 and _PIECE.fullmatch(c.lines[i])), j)
-        while j < n and len(c.lines[j]) <= 2000 and (p := _PIECE.fullmatch(c.lines[j])):
+            j = next((i for i in range(k + 1, min(n, k + 4)) if _PIECE.fullmatch(c.lines[i])), j)
+        while j < n and (p := _PIECE.fullmatch(c.lines[j])):
             pieces.append((j, p))
             j += 1
         if pieces and (len(pieces) > 1 or not m["v"]) and looks_secret("".join(p["v"] for _, p in pieces)):
             yield from (hit(*p) for p in pieces)
-        elif not pieces and k + 1 < n and re.search(r"(?:[:=]|>-?|\|-?)[ \t]*$", line) and len(c.lines[k + 1]) <= 2000:
+        elif not pieces and k + 1 < n and re.search(r"(?:[:=]|>-?|\|-?)[ \t]*$", line):
             indent = len(line) - len(line.lstrip())
             j = k + 1
             while j < n and (p := re.fullmatch(r"([ \t]*)(?P<v>[^\s\"'#:]{5,})[ \t]*", c.lines[j])) and len(p[1]) > indent and looks_secret(p["v"]):
@@ -218,7 +220,7 @@ def _over_lines(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
     # pieces at the top of a chunk, the name in the chunk before
     j = 0
     tops = []
-    while j < n and len(c.lines[j]) <= 2000 and (p := _PIECE.fullmatch(c.lines[j])):
+    while j < n and (p := _PIECE.fullmatch(c.lines[j])):
         tops.append((j, p))
         j += 1
     if tops and j < n and re.fullmatch(r"[ \t]*\)[ \t]*", c.lines[j]) and looks_secret("".join(p["v"] for _, p in tops)):
@@ -233,7 +235,7 @@ def _tables(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
     wanted: set[int] | None = None
     guessing, stray = True, 0
     for k, line in enumerate(c.lines):
-        row = _ROW.fullmatch(line) if len(line) < 2000 else None
+        row = _ROW.fullmatch(line)
         if not row:
             stray += 1
             if stray > 2:
@@ -259,18 +261,74 @@ def _tables(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
             at += len(cell) + 1
 
 
+def _objects(line: str, places: list[int]) -> tuple[list[int], dict[int, int]]:
+    """For ascending places of a line, where the innermost braces around each open; and for all braces, the next ones around.
+
+    What no braces of the line enclose has the number of braces that were closed before it, as a negative place.
+    Braces in double quotes don't count, unless a quote is left open.
+    """
+    tokens = list(re.finditer(r"""\\.|["{}]""", line))
+    quoting = sum(t.group() == '"' for t in tokens) % 2 == 0
+    stack, around, out, quoted, i = [-1], {-1: -1}, [], False, 0
+    for t in tokens:
+        while i < len(places) and places[i] < t.start():
+            out.append(stack[-1])
+            i += 1
+        if t.group() == '"':
+            quoted = quoting and not quoted
+        elif t.group() == "{" and not quoted:
+            around[t.start()] = stack[-1]
+            stack.append(t.start())
+        elif t.group() == "}" and not quoted:
+            last = stack.pop()
+            if not stack:
+                stack.append(last - 1)
+                around[last - 1] = last - 1
+    return out + [stack[-1]] * (len(places) - i), around
+
+
+def _values_of_names(line: str, names: list[re.Match], values: list[re.Match]) -> Iterator[re.Match]:
+    """The values of credentials' names: those in the same braces, or the first one after a name without braces."""
+    named = [(m.end() - 1, 0, None) for m in _ANY_NAMED.finditer(line)]
+    # a name's place is its last character, which is behind a brace that the match begins with
+    marks = sorted([*named, *((m.end() - 1, 1, None) for m in names), *((m.start(), 2, m) for m in values)], key=lambda x: x[:2])
+    inner, around = _objects(line, [m[0] for m in marks])
+    some = {o for (_, kind, _), o in zip(marks, inner) if kind < 2}
+    wanted = {o for (_, kind, _), o in zip(marks, inner) if kind == 1}
+    owner: dict[int, int] = {}
+
+    def named_around(o: int) -> int:
+        seen = []
+        while o >= 0 and o not in some and o not in owner:
+            seen.append(o)
+            o = around[o]
+        o = owner.get(o, o)
+        owner.update(dict.fromkeys(seen, o))
+        return o
+
+    waiting = None
+    for (_, kind, m), o in zip(marks, inner):
+        if kind == 1 and o < 0:
+            waiting = o
+        elif kind == 2:
+            o = named_around(o)
+            if o >= 0 and o in wanted or o < 0 and o == waiting:
+                yield m
+            if o < 0:
+                waiting = None
+
+
 def _named_values(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
-    """{"name": "API_KEY", "value": "..."}, on one line or on lines near each other."""
+    """{"name": "API_KEY", "value": "..."}, any number on one line, or on lines near each other."""
     for k, line in enumerate(c.lines):
-        if len(line) > 4000:
-            continue
-        if m := _NAMED.search(line):
-            if v := _NAMED_VALUE.search(line, m.end()):
-                if looks_secret(v["v"]):
-                    yield c.numbers[k], c.at[k] + v.start("v"), c.at[k] + v.end("v"), "value"
+        if names := list(_NAMED.finditer(line)):
+            if values := list(_NAMED_VALUE.finditer(line)):
+                for v in _values_of_names(line, names, values):
+                    if looks_secret(v["v"]):
+                        yield c.numbers[k], c.at[k] + v.start("v"), c.at[k] + v.end("v"), "value"
             elif _NAMED.fullmatch(line.strip()):
                 for j in (k + 1, k + 2, k - 1):
-                    if 0 <= j < len(c.lines) and len(c.lines[j]) < 2000 and (v := _NAMED_VALUE.match(c.lines[j].strip().removeprefix("- "))) and looks_secret(v["v"]):
+                    if 0 <= j < len(c.lines) and (v := _NAMED_VALUE.match(c.lines[j].strip().removeprefix("- "))) and looks_secret(v["v"]):
                         b = c.at[j] + c.lines[j].index(v["v"])
                         yield c.numbers[j], b, b + len(v["v"]), "value"
                         break
