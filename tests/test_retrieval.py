@@ -117,3 +117,30 @@ def test_embedding(spark):
     assert got[3]["embedding"] is None and set(got[2]["embedding"]) == {0.0}
     other = embedded(rows, F.col("t"), HashingProvider(8), "search_query").first()
     assert len(other["embedding"]) == 8 and other["embedding_kind"] == "search_query"
+
+
+def test_every_vector_is_decided_in_turn(spark):
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for i in range(300):
+        old = rows[r.randrange(i)][1] if i and r.random() < 0.6 else [r.gauss(0, 1) for _ in range(8)]
+        rows.append((i, [x + r.gauss(0, 0.2) for x in old]))
+    rows += [(400, rows[20][1]), (401, [2 * x for x in rows[20][1]]), (500, None), (501, [0.0] * 8), (502, [1.0, 0.0])]
+
+    def distance(a, b):
+        return round(1 - sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 9)
+
+    kept, want = [], {}
+    for i, v in rows:
+        near = [(distance(v, w), j) for j, w in kept if len(w) == len(v)] if v and any(v) else []
+        near = min((x for x in near if x[0] < 0.1), default=None)
+        want[i] = (near[1], True) if near else (None, False)
+        if v and any(v) and not near:
+            kept.append((i, v))
+    d = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    exact = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    assert {x["id"]: (x["nearest"], x["rejected"]) for x in vector.decided(exact, "vec_id", "embedding").collect()} == want
+    assert 50 < sum(x[1] for x in want.values()) < 250 and want[400][1] and want[401][1]
+    assert vector.decided(d.where("false"), "vec_id", "embedding").count() == 0

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import acos
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.lexical import best
+from weftline.sources.tables import durable
 
 
 def _doubles(v: Column) -> Column:
@@ -55,3 +61,75 @@ def confidence(distance: Column) -> Column:
 def is_duplicate(distance: Column, threshold: float = 0.1) -> Column:
     """Whether the best match is so near that a fact isn't stored again; nothing stored means no."""
     return F.coalesce(distance < threshold, F.lit(False))
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """A block's rows as one: its ids in order, and the vectors as one matrix."""
+    table = table.sort_by("id")
+    ids, matrix = table.column("id").to_numpy(), np.array(table.column("unit").to_pylist(), np.float64)
+    keys = {k: table.column(k)[:1] for k in ("size", "x", "y", "part")}
+    return pa.table({**keys, "ids": pa.array([ids.tolist()], pa.list_(pa.int64())), "matrix": pa.array([matrix.tobytes()], pa.binary())})
+
+
+def _links(threshold: float):
+    schema = pa.schema([("early", pa.int64()), ("late", pa.int64()), ("distance", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, ids_a, a, ids_b, b in zip(*(c.to_pylist() for c in batch.columns)):
+                u, v = np.frombuffer(a).reshape(-1, size), np.frombuffer(b).reshape(-1, size)
+                far = np.round(1 - u @ v.T, 9) + 0.0
+                i, j = np.nonzero(far < threshold)
+                x, y = np.array(ids_a, np.int64)[i], np.array(ids_b, np.int64)[j]
+                near = x < y
+                yield pa.RecordBatch.from_arrays([pa.array(x[near]), pa.array(y[near]), pa.array(far[i, j][near])], schema=schema)
+
+    return run
+
+
+def near_pairs(rows: DataFrame, id: str, vector: str, threshold: float = 0.1, block: int = 200) -> DataFrame:
+    """(early, late, distance), early < late: all pairs of rows that are nearer than ``threshold``.
+
+    Vectors lie in cells by their angles to two of them. The angles of two near vectors differ
+    by no more than their own angle (triangle inequality), so only cells side by side meet, in
+    blocks of some ``block`` vectors. Vectors of different lengths, null and zero vectors are near to none.
+    """
+    units = _measured(rows, id, vector, "id", "_vector").select(F.col("id").cast("bigint").alias("id"), F.transform("_vector", lambda x: x / F.col("_vector_norm")).alias("unit"))
+    units = durable(units.withColumn("size", F.size("unit")))
+    pivots = [list(r["unit"]) for r in units.orderBy("id").limit(2).collect()]
+    width = acos(1 - threshold) + 1e-6
+
+    def cell(k: int) -> Column:
+        pivot = F.array(*map(F.lit, pivots[k % len(pivots)])) if pivots else F.col("unit")
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("unit"), pivot))))
+        return F.coalesce(F.floor(angle / width), F.lit(0)).cast("int")
+
+    form = "size int, x int, y int, part int, ids array<bigint>, matrix binary"
+    cells = units.withColumn("x", cell(0)).withColumn("y", cell(1))
+    counts = cells.groupBy("size", "x", "y").agg(F.ceil(F.count("*") / block).alias("parts"))
+    cells = cells.join(counts, ["size", "x", "y"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    held = durable(cells.groupBy("size", "x", "y", "part").applyInArrow(_gathered, form))
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    beside = held.withColumn("to", around).select("size", (F.col("x") + F.col("to.dx")).alias("x"), (F.col("y") + F.col("to.dy")).alias("y"), F.col("ids").alias("ids_b"), F.col("matrix").alias("b"))
+    met = held.join(beside, ["size", "x", "y"]).select("size", "ids", F.col("matrix").alias("a"), "ids_b", "b")
+    return met.mapInArrow(_links(threshold), "early bigint, late bigint, distance double")
+
+
+def decided(rows: DataFrame, id: str, vector: str, threshold: float = 0.1) -> DataFrame:
+    """(id, nearest, distance, rejected), one row per row: whether a fact is stored again if all come in turn by id.
+
+    A fact is rejected if an accepted earlier one is nearer than ``threshold``; the nearest of these is named,
+    ties by id. In every round those without an open earlier link are accepted, and those linked to them rejected.
+    """
+    pairs = durable(near_pairs(rows, id, vector, threshold))
+    ids = rows.select(F.col(id).cast("bigint").alias("id"))
+    links, refused = pairs.select("early", "late"), ids.where("false")
+    while not links.isEmpty():
+        first = links.select(F.col("early").alias("id")).distinct().join(links.select(F.col("late").alias("id")), "id", "left_anti")
+        out = durable(links.join(first.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct())
+        refused = refused.unionByName(out)
+        links = links.join(out.withColumnRenamed("id", "late"), "late", "left_anti").join(out.withColumnRenamed("id", "early"), "early", "left_anti")
+        links = durable(links.select("early", "late"))
+    stored = pairs.join(refused.withColumnRenamed("id", "early"), "early", "left_anti").join(refused.withColumnRenamed("id", "late"), "late", "left_semi")
+    nearest = stored.groupBy(F.col("late").alias("id")).agg(F.min(F.struct("distance", "early")).alias("near"))
+    return ids.join(nearest, "id", "left").select("id", F.col("near.early").alias("nearest"), F.col("near.distance").alias("distance"), F.col("near").isNotNull().alias("rejected"))

@@ -187,6 +187,12 @@ def memory_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("query_id", F.col("id").alias("nearest"), "distance", vector.is_duplicate(F.col("distance")).alias("rejected"))
 
 
+@PLANS.query()
+def memory_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector with the decision if all are stored in turn, each compared with those accepted before."""
+    return vector.decided(table(spark, folder, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
 @PLANS.query(
     f"""SELECT query_id, d.id, distance, replace(substring(coalesce(documents, ''), 1, 150), chr(10), ' | ') AS preview
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM ({_EVERY_20TH})) d LEFT JOIN project_files_hybrid ON row_id = d.id WHERE rank <= 3"""
