@@ -57,6 +57,22 @@ def span_rows():
     return rows
 
 
+def test_windows_of_crowded_phrases_dont_pass_the_drivers_python(spark, monkeypatch):
+    text = " ".join(words(5, 40))
+    df = spark.createDataFrame(chunk_rows([(numbered(f"{i} {text} {i}"), f"p{i}") for i in range(12)]), CHUNKS)
+    kind = type(df)
+    collected, collect = [], kind.collect
+
+    def watched(self):
+        rows = collect(self)
+        collected.append(self.columns)
+        return rows
+
+    monkeypatch.setattr(kind, "collect", watched)
+    found = shared_spans(df, "row_id", "documents", same_path(F.col("path")), span=60, phrase=20, numbered=True, crowded=5)
+    assert found.count() == 12 and not any("window" in c for c in collected)
+
+
 @pytest.mark.parametrize(("crowded", "held"), [(5000, 100), (5, 10**6), (5, 10)])
 def test_spans(spark, crowded, held):
     rows = span_rows()

@@ -33,7 +33,7 @@ from weftline.functions.codepoints import Block, blocks, span_hash, strip_line_n
 from weftline.sources.tables import durable
 
 _FIRST = "owner bigint, id bigint, phrase bigint, at int, more bigint"
-#: Windows of crowded phrases that are held by every task (8 bytes each); beyond, they are joined.
+#: Windows of crowded phrases up to which Spark broadcasts them for their join.
 HELD = 2_000_000
 _RUN = pa.schema([("phrase", pa.int64()), ("crowded", pa.bool_()), ("id", pa.int64()), ("owner", pa.int64()), ("begin", pa.int32()), ("run", pa.string())])
 _SPAN = pa.schema([("id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
@@ -228,20 +228,6 @@ def _few_windows(span: int):
     return run
 
 
-def _held(span: int, windows):
-    """Spans of runs by a set of windows that all tasks hold, in ascending order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = windows.value
-        for batch in batches:
-            h, n = _window_hashes(batch.column(3).to_pylist(), span)
-            at = np.minimum(np.searchsorted(shared, h), max(len(shared) - 1, 0))
-            flags = shared[at] == h if len(shared) else np.zeros(len(h), bool)
-            yield _spans_of(flags, n, batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), span)
-
-    return run
-
-
 def _each_window(span: int):
     schema = pa.schema([("id", pa.int64()), ("begin", pa.int32()), ("window", pa.int64())])
 
@@ -263,8 +249,7 @@ def _crowded_spans(runs: DataFrame, span: int, held: int) -> DataFrame:
     few = runs.mapInArrow(_few_windows(span), "window bigint, lo bigint, hi bigint").groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     twice = durable(few.where("lo <> hi").select("window"))
     if twice.count() <= held:
-        windows = np.sort(np.array([r[0] for r in twice.collect()], np.int64).view(np.uint64))
-        return runs.mapInArrow(_held(span, runs.sparkSession.sparkContext.broadcast(windows)), "id bigint, begin int, end int")
+        twice = F.broadcast(twice)
     each = runs.mapInArrow(_each_window(span), "id bigint, begin int, window bigint")
     return each.join(twice, "window").select("id", "begin", (F.col("begin") + span).cast("int").alias("end"))
 
@@ -279,7 +264,7 @@ def shared_spans(records: DataFrame, id: str, text: str, owner: Column, span: in
     neither; a null owner is an owner like any other; repeated rows of one owner don't make a span
     shared; rows with one id are taken as one record. Extra columns are ignored.
     ``crowded``: the number of occurrences from which a phrase is matched by group-by; ``held``: the number of
-    its shared windows up to which every task gets them all.
+    its shared windows up to which Spark broadcasts them for their join.
 
     Equal texts are one: if two owners have it, all of it is shared, and towards others it counts as
     an owner of its own; otherwise its records share what the first of them shares.
