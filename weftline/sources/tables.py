@@ -44,13 +44,14 @@ def _remove(spark: SparkSession, folder: str) -> None:
 _cleaned: set[str] = set()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder and read back from there."""
+def durable(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` computed once into the shared folder and read back from there; ``by`` names a column of few values to part it by."""
     spark = df.sparkSession
     folder = shared_folder(spark)
     if folder not in _cleaned:
         _cleaned.add(folder)
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    rows = df.write.option("compression", "zstd")
+    (rows.partitionBy(by) if by else rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
