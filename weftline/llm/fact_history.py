@@ -4,23 +4,25 @@ A record is the set of its distinct words. The metric is the number of words in
 one of two sets only, d(x, y); the share common / union is at least 0.8 exactly
 if d(x, y) <= (|x| + |y|) / 9, and then |x| and |y| differ by a factor of 1.25 at most.
 
-The words are dealt by hash to g classes, so d is the sum of the distances within
-the classes. Within each class there are 17 fixed pivots: the empty set and sixteen
-halves of all words. By the triangle inequality the distances of x and y to a
-pivot differ by no more than d(x, y) within the class. If d(x, y) <= r, then at least
-g - r classes have distance 0, and there all 17 pivot distances are equal. Sizes are cut
-into ranges by the factor 1.25 (the distance to the empty set over all words); records of
-one range are compared with each other and with the range below. For each range r
-follows from its largest size, and g = r + ``MATCHES``. So the pairs wanted agree in the
-pivot distances of ``MATCHES`` classes at least; the true distance is checked for these.
-
-A pivot P enters as |x and P|, as d(x, P) = |x| + |P| - 2 |x and P| and |P| is the same for all x.
+The pivots are the empty set and ``PIVOTS`` halves of all words, dealt by the bits of a hash.
+The table keeps each accepted fact's distances to them, |x| and d(x, P) - |P| = |x| - 2 |x and P|;
+|P| is the same for all x. By the triangle inequality d(x, y) is at least the difference of the
+distances of x and y to any pivot, so a pair with one difference beyond (|x| + |y|) / 9 is
+pruned before any word is read.
+
+The join that brings the pairs together runs within ranges. The distance to the empty set is cut into
+ranges by the factor 1.25; a range is joined with itself and the one below. Within a range d(x, y) <= r
+for the r of its largest sets. The words are dealt into r + k classes, of which a near pair has the same words in
+k at least (distance 0 there). The classes lie in k - 1 groups, so two of these k are in one group: the keys of
+a fact are its words in any two classes of one group, and near pairs agree in one key at least.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from math import floor, log
+from functools import lru_cache, reduce
+from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,41 +31,65 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.codepoints import blocks, distinct_within, mix, word_hashes
-from weftline.llm.positional import agreeing_pairs
-from weftline.sources.tables import durable
+from weftline.sources.tables import durable, shared_folder
 
-MATCHES = 3
+PIVOTS = 8
+#: Facts of a batch up to which their keys (some thirty a fact, a hundred bytes each) are broadcast to the history's scan; beyond it both sides are shuffled.
+HELD = 30_000
+#: Pairs up to which their ids are broadcast to the scan of the word sets, and decided on in one task; beyond it in joins and rounds of joins.
+FEW = 200_000
 _LAST = 2**31 - 1
-_FORM = "id bigint, batch int, copy binary, words binary, sigs array<struct<block:int,own:boolean,sig:array<bigint>>>"
-# each byte with its bits spread over eight lanes, so that sums of words are eight counts
-_LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype=np.uint64)
+_FAR = [f"d{k}" for k in range(PIVOTS)]
+_FORM = f"id bigint, batch int, copy binary, words binary, n int, {', '.join(f'{c} int' for c in _FAR)}, keys array<struct<block:int,own:boolean,key:bigint>>"
+_LINK = pa.schema([("early", pa.int64()), ("late", pa.int64()), ("turn", pa.int32())])
 
 
 def size_range(n: int) -> int:
     return floor(log(n) / log(1.25) + 1e-9)
 
 
-def classes_of(size_range: int) -> int:
-    """The number of classes for pairs whose larger set is of this range."""
-    return floor(2 * floor(1.25 ** (size_range + 1) + 1e-6) / 9) + MATCHES
-
-
-def _distances(values: np.ndarray, text: np.ndarray, ranges: np.ndarray) -> list[list[int]]:
-    """For each text the distances of its words to the pivots of each class, one number a class."""
-    g = np.array([classes_of(int(r)) for r in ranges], np.int64)
-    base = np.concatenate(([0], np.cumsum(g)))
-    place = base[text] + ((values >> np.uint64(20)) % g[text].astype(np.uint64)).astype(np.int64)
-    near = np.zeros((3, base[-1]), dtype=np.uint64)
-    np.add.at(near[0], place, _LANES[(values & np.uint64(255)).astype(np.int64)])
-    np.add.at(near[1], place, _LANES[((values >> np.uint64(8)) & np.uint64(255)).astype(np.int64)])
-    np.add.at(near[2], place, np.uint64(1))
-    key = mix(mix(mix(near[0]) + near[1]) + near[2]).view(np.int64)
-    return [key[a:b].tolist() for a, b in zip(base[:-1], base[1:])]
+def radius(block: int) -> int:
+    """The largest distance of two near sets of this range."""
+    return 2 * floor(1.25 ** (block + 1) + 1e-6) // 9
+
+
+@lru_cache(None)
+def joint_classes(block: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of classes of a range, and the pairs of classes that make its keys: those of one group, with four classes in a group at most."""
+    r = radius(block)
+    agreeing = max(4, ceil((r + 4) / 3))
+    classes, groups = r + agreeing, agreeing - 1
+    pairs = [(i, j) for i in range(classes) for j in range(i + groups, classes, groups)]
+    return classes, np.array([i for i, _ in pairs]), np.array([j for _, j in pairs])
+
+
+def _keys(values: np.ndarray, fact: np.ndarray, ranges: np.ndarray) -> pa.ListArray:
+    """Each fact's keys in its own range and in the one above."""
+    facts, where, own, keys = [], [], [], []
+    scrambled = mix(values)
+    for above in (0, 1):
+        for b in np.unique(ranges):
+            chosen = np.flatnonzero(ranges == b)
+            place = np.full(len(ranges), -1)
+            place[chosen] = np.arange(len(chosen))
+            here = place[fact] >= 0
+            classes, i, j = joint_classes(int(b) + above)
+            held = np.zeros((len(chosen), classes), np.uint64)
+            np.add.at(held, (place[fact[here]], ((values[here] >> np.uint64(32)) % np.uint64(classes)).astype(np.int64)), scrambled[here])
+            key = mix(held[:, i] * np.uint64(0x9E3779B97F4A7C15) + mix(held[:, j] + np.arange(len(i), dtype=np.uint64)))
+            facts.append(np.repeat(chosen, len(i)))
+            where.append(np.full(key.size, b + above, np.int32))
+            own.append(np.full(key.size, not above))
+            keys.append(key.ravel().view(np.int64))
+    fact_of = np.concatenate(facts)
+    order = np.argsort(fact_of, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(np.bincount(fact_of, minlength=len(ranges)))))
+    flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c)[order]) for c in (where, own, keys)], ["block", "own", "key"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sigs_type = pa.list_(pa.struct([("block", pa.int32()), ("own", pa.bool_()), ("sig", pa.list_(pa.int64()))]))
-    names = ["id", "batch", "copy", "words", "sigs"]
+    names = ["id", "batch", "copy", "words", "n", *_FAR, "keys"]
     for batch in batches:
         ids, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         texts = [None if t is None else t.lower() for t in batch.column(2).to_pylist()]
@@ -73,10 +99,10 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
             bound = np.append(first, len(values))
+            n = np.diff(bound)
             owners = at[text[first]].tolist()
-            dense = np.repeat(np.arange(len(first)), np.diff(bound))
-            ranges = np.array([size_range(int(n)) for n in np.diff(bound)])
-            own, above = _distances(values, dense, ranges), _distances(values, dense, ranges + 1)
+            ranges = np.array([size_range(int(x)) for x in n])
+            far = [np.add.reduceat(1 - 2 * ((values >> np.uint64(k)) & np.uint64(1)).astype(np.int32), first, dtype=np.int32) for k in range(PIVOTS)]
             sets = [values[a:b].tobytes() for a, b in zip(bound[:-1], bound[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -84,7 +110,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([numbers[o] for o in owners], pa.int32()),
                     pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
                     pa.array(sets, pa.binary()),
-                    pa.array([[{"block": r, "own": True, "sig": x}, {"block": r + 1, "own": False, "sig": y}] for r, x, y in zip(ranges.tolist(), own, above)], sigs_type),
+                    pa.array(n.astype(np.int32)),
+                    *map(pa.array, far),
+                    _keys(values, np.repeat(np.arange(len(first)), n), ranges),
                 ],
                 names,
             )
@@ -92,126 +120,152 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        left, right = batch.column(3).to_pylist(), batch.column(4).to_pylist()
         keep = []
         for i, (x, y) in enumerate(zip(left, right)):
             u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             common = len(np.intersect1d(u, v, assume_unique=True))
             if common * 10 >= (len(u) + len(v) - common) * 8:
                 keep.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in range(3)], ["early", "late", "turn"])
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The later ends that are rejected, each taken in turn; for few links, all in one partition."""
+    links = pa.Table.from_batches(list(batches), _LINK).to_pandas().sort_values(["turn", "late"])
+    out: dict[int, None] = {}
+    for early, late in zip(links["early"].tolist(), links["late"].tolist()):
+        if early not in out:
+            out[late] = None
+    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64())], ["id"])
 
 
 def described(facts: DataFrame, id: str, text: str, batch: str) -> DataFrame:
-    """The facts that have a word, with their word sets and pivot distances, both by hash."""
+    """The facts that have a word: word sets by hash, distances to the pivots and keys."""
     picked = facts.select(F.col(id).cast("bigint").alias("id"), F.coalesce(F.col(batch).cast("int"), F.lit(_LAST)).alias("batch"), F.col(text).alias("text"))
     return picked.where("text is not null").mapInArrow(_described, _FORM)
 
 
-def _turn(id: str, batch: str) -> Column:
-    return F.struct(F.col(batch), F.col(id))
-
+def _with_firsts(sets: DataFrame) -> DataFrame:
+    """``is_first``: no fact before it in turn has the same words."""
+    first = sets.groupBy("copy").agg(F.min(F.struct("batch", "id")).alias("first"))
+    return sets.join(first, "copy").withColumn("is_first", F.col("id") == F.col("first.id")).drop("copy", "first")
 
-def _near_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b), a < b, of the distinct sets that are near each other."""
-    sig = sets.select("id", F.explode("sigs").alias("s")).select("id", "s.block", "s.own", "s.sig")
-    candidates = durable(agreeing_pairs(sig, MATCHES).select("a", "b"))
-    words = sets.select("id", "words")
-    both = candidates.join(words.select(F.col("id").alias("a"), F.col("words").alias("left")), "a")
-    both = both.join(words.select(F.col("id").alias("b"), F.col("words").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_close, "a bigint, b bigint")
 
+def _by_key(sets: DataFrame, side: str) -> DataFrame:
+    keyed = sets.select("id", "batch", "n", *_FAR, F.explode("keys").alias("k"))
+    return keyed.select("k.block", "k.key", F.col("k.own").alias(f"own_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "batch", "n", *_FAR)))
 
-def _greedy(links: DataFrame) -> DataFrame:
-    """(id): the later ends that are rejected if each is taken in turn and rejected for an earlier accepted one.
-
-    ``links``: (early, late). In every round the ids that are no link's later end
-    are accepted, and the ids linked to them rejected; the links of both go.
-    There are as many rounds as the longest chain of alternate decisions has links.
-    """
-    rejected = None
-    links = durable(links)
-    while not links.isEmpty():
-        accepted = links.select(F.col("early").alias("id")).distinct().join(links.select(F.col("late").alias("id")), "id", "left_anti")
-        out = durable(links.join(accepted.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct())
-        rejected = out if rejected is None else rejected.unionByName(out)
-        links = links.join(out.withColumnRenamed("id", "late"), "late", "left_anti").join(out.withColumnRenamed("id", "early"), "early", "left_anti")
-        links = durable(links.select("early", "late"))
-    return links.select(F.col("early").alias("id")) if rejected is None else rejected
 
+def _within_reach() -> Column:
+    """What the triangle inequality leaves: no two distances to a pivot differ by more than near sets may."""
+    most = F.expr("(n_early + n_late) div 9")
+    return reduce(Column.__and__, (F.abs(F.col(f"{c}_early") - F.col(f"{c}_late")) <= most for c in ("n", *_FAR)), F.expr("own_early or own_late"))
 
-def rejected(facts: DataFrame, id: str, text: str, batch: str) -> DataFrame:
-    """(id): the facts to reject if all are taken in turn by batch, then id.
 
-    A fact is rejected if its distinct words and those of an accepted earlier one
-    have 0.8 of their union in common. Facts without a word (null, empty, blank) are
-    never rejected. A null batch comes after all others. Ids must be unique; other
-    repeated rows are duplicates like any. Extra columns are ignored.
+def _greedy(links: DataFrame) -> DataFrame:
+    """(id): as ``_in_turn``, for any number of links (early, late).
 
-    Copies (equal word sets) are resolved without pairs: whatever happens to the first
-    of them, each later one has an accepted fact as near.
+    In every round the ids that are no link's later end are accepted, and the ids linked to them rejected;
+    the links of both go. There are as many rounds as the longest chain of alternate decisions has links.
     """
-    sets = durable(described(facts, id, text, batch))
-    first = sets.groupBy("copy").agg(F.min(_turn("id", "batch")).alias("first"))
-    turn = durable(sets.select("id", "batch", "copy").join(first, "copy").select("id", "batch", (F.col("id") == F.col("first.id")).alias("is_first")))
-    distinct = durable(sets.join(turn.where("is_first").select("id"), "id", "left_semi"))
-    pairs = _near_pairs(distinct)
-    when = turn.where("is_first").select("id", "batch")
-    pairs = pairs.join(when.select(F.col("id").alias("a"), F.col("batch").alias("batch_a")), "a")
-    pairs = pairs.join(when.select(F.col("id").alias("b"), F.col("batch").alias("batch_b")), "b")
-    a_first = _turn("a", "batch_a") < F.struct(F.col("batch_b").alias("batch_a"), F.col("b").alias("a"))
-    links = pairs.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late"))
-    return _greedy(links).unionByName(turn.where("not is_first").select("id"))
+    rejected: list[DataFrame] = []
+    while True:
+        waiting = links.select(F.col("late").alias("early"), F.lit(True).alias("waits")).distinct()
+        marked = durable(links.join(waiting, "early", "left").select("early", "late", F.coalesce("waits", F.lit(False)).alias("waits")))
+        out = marked.where("not waits").select(F.col("late").alias("id")).distinct()
+        rejected.append(out)
+        if marked.isEmpty():
+            return reduce(DataFrame.unionByName, rejected)
+        left = marked.where("waits").select("early", "late")
+        links = left.join(out.withColumnRenamed("id", "late"), "late", "left_anti").join(out.withColumnRenamed("id", "early"), "early", "left_anti").select("early", "late")
 
 
 class FactHistory:
     """Accepted facts of all batches so far, kept in a folder and extended batch by batch.
 
-    ``distances`` holds one row per pivot-distance vector, range-partitioned by size
-    range and by the range of the vector's hash; ``facts`` the accepted facts' word sets.
-    A new batch reads the partitions its own vectors fall into and appends; neither texts nor
-    decisions of earlier batches are read again.
-    """
+    The table has one row per fact: its distances to the pivots, its keys and its word set, sorted by size. What is added
+    reads the sizes that its own facts can be near to, of these the accepted facts' distances and keys, and the word sets of the pairs
+    left; then it is appended. Texts and rejected facts of earlier batches aren't read, and no two facts of the history are compared.
 
-    RANGES = 16
+    A fact is rejected if its distinct words and those of an accepted earlier one, by batch and then id,
+    have 0.8 of their union in common. Facts without a word (null, empty, blank) are
+    never rejected. Ids must be unique; other repeated rows are duplicates like any. Extra columns are ignored.
+    Copies within what is added are resolved without pairs: whatever happens to the first of them, each later one has an accepted fact as near.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.form = f"{_FORM}"
+    ``met``: the pairs, of the last facts added, that came through the join and the pivots, and whose words were read.
+    ``held`` and ``few`` bound what is broadcast or put into one task; they change the work, not the result.
+    """
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def __init__(self, spark: SparkSession, folder: str, held: int = HELD, few: int = FEW):
+        self.spark, self.folder, self.held, self.few = spark, folder, held, few
+        self.met = 0
+
+    def _kept(self, rejected: bool) -> DataFrame | None:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+            found = self.spark.read.schema(f"{_FORM}, rejected boolean").parquet(f"{self.folder}/facts")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
-
-    def _keys(self, sets: DataFrame) -> DataFrame:
-        out = sets.select("id", F.explode("sigs").alias("s")).select("id", F.col("s.block").alias("block"), F.posexplode("s.sig").alias("pos", "value"))
-        return out.withColumn("key", F.xxhash64("block", "pos", "value")).select("id", "block", "key", F.pmod(F.shiftright("key", 32), F.lit(self.RANGES)).cast("int").alias("part"))
+            return None
+        return found.where("rejected" if rejected else "not rejected")
+
+    def _rejected(self, mine: DataFrame, facts: int, low: int, high: int) -> DataFrame | None:
+        """(id): the facts of ``mine``, all different, that are near to an accepted one before them."""
+        small = F.broadcast if facts <= self.held else (lambda df: df)
+        late, words = small(_by_key(mine, "late")), mine.select("id", "words")
+        before = F.expr("struct(batch_early, id_early) < struct(batch_late, id_late)")
+        met = _by_key(mine, "early").join(late, ["block", "key"]).where(_within_reach() & before).select("id_early", "id_late", "batch_late")
+        if (old := self._kept(False)) is not None:
+            old = old.where(F.col("n").between(low * 4 // 5, high * 5 // 4))
+            met = met.unionByName(_by_key(old, "early").join(late, ["block", "key"]).where(_within_reach()).select("id_early", "id_late", "batch_late"))
+            words = words.unionByName(old.select("id", "words"))
+        pairs = durable(met.distinct().withColumnsRenamed({"id_early": "early", "id_late": "late", "batch_late": "turn"}))
+        self.met = pairs.count()
+        if not self.met:
+            return None
+        asked = F.broadcast(pairs) if self.met <= self.few else pairs
+        ends = words.select(F.col("id").alias("early"), F.col("words").alias("left")).join(asked, "early")
+        ends = ends.join(mine.select(F.col("id").alias("late"), F.col("words").alias("right")), "late").select("early", "late", "turn", "left", "right")
+        links = ends.mapInArrow(_close, "early bigint, late bigint, turn int")
+        return links.repartition(1).mapInArrow(_in_turn, "id bigint") if self.met <= self.few else _greedy(durable(links.select("early", "late")))
+
+    def _decide(self, sets: DataFrame) -> None:
+        """Decides on described facts, and appends them with the decision."""
+        mine = sets.where("is_first")
+        facts, low, high = mine.agg(F.count("*"), F.min("n"), F.max("n")).first()
+        if not facts:
+            return
+        no = F.lit(False)
+        out = self._rejected(mine.drop("is_first"), facts, low, high)
+        if out is not None:
+            sets, no = sets.join(out.withColumn("no", F.lit(True)), "id", "left"), F.coalesce("no", F.lit(False))
+        rows = sets.select("id", "batch", "words", "n", *_FAR, "keys", (~F.col("is_first") | no).alias("rejected"))
+        parts = 1 + facts // 200_000
+        rows.repartitionByRange(parts, "n").sortWithinPartitions("rejected", "n").write.partitionBy("rejected").mode("append").parquet(f"{self.folder}/facts")
 
     def add(self, facts: DataFrame, id: str, text: str, batch: str) -> DataFrame:
-        """Decide on a batch, append what it accepts, and return (id, accepted) for all its rows."""
+        """Decide on one or more batches, append them, and return (id, accepted) for all rows of ``facts``."""
         sets = durable(described(facts, id, text, batch))
-        old_keys = self._read("distances", "id bigint, key bigint, block int, part int")
-        old_sets = self._read("facts", _FORM)
-        mine = self._keys(sets)
-        met = old_keys.join(mine.select("block", "part", "key").distinct(), ["block", "part", "key"], "left_semi").select("id").distinct()
-        old = durable(old_sets.join(met, "id", "left_semi"))
-        # accepted history comes first in turn, so it is never decided again
-        everything = old.withColumn("batch", F.lit(-1)).unionByName(sets)
-        first = everything.groupBy("copy").agg(F.min(_turn("id", "batch")).alias("first"))
-        ranked = durable(everything.join(first, "copy").withColumn("is_first", F.col("id") == F.col("first.id")))
-        pairs = _near_pairs(ranked.where("is_first").select("id", "batch", "copy", "words", "sigs"))
-        when = ranked.where("is_first").select("id", "batch")
-        pairs = pairs.join(when.select(F.col("id").alias("a"), F.col("batch").alias("batch_a")), "a")
-        pairs = pairs.join(when.select(F.col("id").alias("b"), F.col("batch").alias("batch_b")), "b").where("batch_a >= 0 or batch_b >= 0")
-        a_first = _turn("a", "batch_a") < F.struct(F.col("batch_b").alias("batch_a"), F.col("b").alias("a"))
-        links = pairs.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late"))
-        out = durable(_greedy(links).unionByName(ranked.where("not is_first and batch >= 0").select("id")))
-        accepted = sets.join(out, "id", "left_anti")
-        self._keys(accepted).write.mode("append").partitionBy("block", "part").parquet(f"{self.folder}/distances")
-        accepted.write.mode("append").parquet(f"{self.folder}/facts")
-        ids = facts.select(F.col(id).cast("bigint").alias("id"))
+        self._decide(durable(_with_firsts(sets)))
+        ids, kept = facts.select(F.col(id).cast("bigint").alias("id")), self._kept(True)
+        out = ids.where("false") if kept is None else kept.select("id").join(sets.select("id"), "id", "left_semi")
         return ids.join(out.withColumn("accepted", F.lit(False)), "id", "left").select("id", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+
+    def replay(self, facts: DataFrame, id: str, text: str, batch: str, at_once: int = 1) -> DataFrame:
+        """(id): the rejected of all batches, ``at_once`` of them added in turn; a null batch comes last.
+
+        The facts are described in one pass. How many batches are added at once doesn't change the result, as those added are taken in turn, too.
+        """
+        sets = durable(described(facts, id, text, batch), "batch")
+        numbers = sorted(r["batch"] for r in sets.select("batch").distinct().collect())
+        for k in range(0, len(numbers), at_once):
+            self._decide(durable(_with_firsts(sets.where(F.col("batch").isin(numbers[k : k + at_once])))))
+        kept = self._kept(True)
+        return sets.select("id").where("false") if kept is None else kept.select("id")
+
+
+def rejected(facts: DataFrame, id: str, text: str, batch: str, at_once: int = 10) -> DataFrame:
+    """(id): the facts to reject if the batches are added, ``at_once`` in turn, to an empty history in the shared folder."""
+    spark = facts.sparkSession
+    return FactHistory(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}").replay(facts, id, text, batch, at_once)
