@@ -3,13 +3,15 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import CHUNKS, chunk_rows, numbered, words
+from weftline.functions.codepoints import mix
 from weftline.llm import fact_history
 from weftline.llm.near_duplicates import NearDuplicates, guaranteed
-from weftline.llm.positional import agreeing_pairs
+from weftline.llm.positional import rare_pairs
 from weftline.llm.shared_spans import same_path, shared_spans
 
 
@@ -109,10 +111,10 @@ def near_rows():
     return [*rows, *rows[:5], (None, "a"), ("", "a"), ("1: one two", "a"), ("1:  \n2: ", "b")]
 
 
-@pytest.mark.parametrize(("n", "threshold"), [(3, 0.7), (5, 0.8)])
-def test_near_duplicates(spark, n, threshold):
+@pytest.mark.parametrize(("n", "threshold", "options"), [(3, 0.7, {}), (5, 0.8, {}), (3, 0.7, {"exact": True}), (3, 0.7, {"crowded": 2}), (5, 0.8, {"crowded": 4}), (2, 0.5, {"exact": True})])
+def test_near_duplicates(spark, n, threshold, options):
     rows = near_rows()
-    near = NearDuplicates(spark.createDataFrame(chunk_rows(rows), CHUNKS), "row_id", "documents", n, threshold, numbered=True)
+    near = NearDuplicates(spark.createDataFrame(chunk_rows(rows), CHUNKS), "row_id", "documents", n, threshold, numbered=True, **options)
     sets = {i: s for i, (t, _) in enumerate(rows, 1) if t is not None and (s := shingles(clean(t), n))}
     true = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
     assert sorted((r["a"], r["b"]) for r in near.pairs().collect()) == sorted(true)
@@ -121,6 +123,27 @@ def test_near_duplicates(spark, n, threshold):
     assert all(groups[g] == g for g in set(groups.values()))
 
 
+@pytest.mark.parametrize("split", [3, 10**6])
+def test_rare_pairs_lose_none(spark, split):
+    r = random.Random(9)
+    rows = []
+    for i in range(80):
+        some = {r.randrange(40) for _ in range(r.randrange(1, 30))} | ({1000 + k for k in range(25)} if i % 2 else set())
+        rows.append((i, np.sort(mix(np.array(sorted(some), np.uint64)))))
+    true = {(i, j) for i, x in rows for j, y in rows if i < j and len(np.intersect1d(x, y)) * 10 >= 7 * len(np.union1d(x, y))}
+    df = spark.createDataFrame([(i, x.tobytes()) for i, x in rows], "id bigint, elements binary")
+    found = {(x["a"], x["b"]) for x in rare_pairs(df, 0.7, split).collect()}
+    assert true and true <= found
+
+
+def test_a_template_makes_no_candidates(spark):
+    """Records that share two fifths of their union with each other, all by one template: far fewer candidates than pairs."""
+    template = " ".join(words(1, 60))
+    rows = [(f"1: {template}\n2: " + " ".join(words(1000 + i, 45)), f"p{i}") for i in range(400)]
+    near = NearDuplicates(spark.createDataFrame(chunk_rows(rows), CHUNKS), "row_id", "documents", 3, 0.7, numbered=True, crowded=50)
+    assert near.candidates.count() < 400 and near.links.count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     near = NearDuplicates(spark.createDataFrame([], CHUNKS), "row_id", "documents")
     assert near.pairs().count() == 0 and near.groups().count() == 0
@@ -130,15 +153,6 @@ def test_guaranteed_matches():
     assert guaranteed(16, 0.7) == 3 and guaranteed(16, 1.0) == 16 and guaranteed(1, 0.5) == 1
 
 
-@pytest.mark.parametrize("crowded", [2, 4, 1000])
-def test_crowded_postings_lose_no_pair(spark, crowded):
-    r = random.Random(9)
-    sigs = [(i, 0, True, [r.randrange(3) if r.random() < 0.9 else r.randrange(50) for _ in range(6)]) for i in range(60)]
-    df = spark.createDataFrame(sigs, "id bigint, block int, own boolean, sig array<bigint>")
-    true = {(a[0], b[0]) for a in sigs for b in sigs if a[0] < b[0] and sum(x == y for x, y in zip(a[3], b[3])) >= 3}
-    assert {(x["a"], x["b"]) for x in agreeing_pairs(df, 3, crowded).collect()} == true
-
-
 def fact_rows():
     r = random.Random(2)
     rows = []
@@ -168,14 +182,15 @@ FACTS = "mem_id bigint, content string, batch_no int, sigs string"
 
 def test_facts(spark):
     rows = fact_rows()
-    found = fact_history.rejected(spark.createDataFrame(rows, FACTS), "mem_id", "content", "batch_no")
+    found = fact_history.rejected(spark.createDataFrame(rows, FACTS), "mem_id", "content", "batch_no", at_once=2)
     assert sorted(r["id"] for r in found.collect()) == greedy(rows)
     assert fact_history.rejected(spark.createDataFrame([], FACTS), "mem_id", "content", "batch_no").count() == 0
 
 
-def test_batches_one_by_one(spark, tmp_path):
+@pytest.mark.parametrize(("held", "few"), [(10**6, 10**6), (1, 1)])
+def test_batches_one_by_one(spark, tmp_path, held, few):
     rows = [x for x in fact_rows() if x[2] is not None]
-    history = fact_history.FactHistory(spark, f"file://{tmp_path}")
+    history = fact_history.FactHistory(spark, f"file://{tmp_path}", held, few)
     out = []
     for b in range(1, 6):
         batch = spark.createDataFrame([x for x in rows if x[2] == b], FACTS)
@@ -183,8 +198,14 @@ def test_batches_one_by_one(spark, tmp_path):
     assert sorted(out) == greedy(rows)
 
 
-def test_size_ranges():
+def test_near_sets_share_a_key():
+    """Any choice of as many classes as must agree has two in one group."""
     for n in range(1, 300):
         for m in range(n, int(1.25 * n) + 1):
-            assert fact_history.size_range(m) - fact_history.size_range(n) <= 1
-            assert (n + m) // 9 + fact_history.MATCHES <= fact_history.classes_of(fact_history.size_range(m))
+            b = fact_history.size_range(m)
+            assert b - fact_history.size_range(n) <= 1 and (n + m) // 9 <= fact_history.radius(b)
+    for b in range(12):
+        classes, i, j = fact_history.joint_classes(b)
+        agreeing = classes - fact_history.radius(b)
+        apart = {k % (agreeing - 1) for k in range(classes)}
+        assert len(apart) == agreeing - 1 and {(x, y) for x in range(classes) for y in range(x + 1, classes) if x % (agreeing - 1) == y % (agreeing - 1)} == set(zip(i.tolist(), j.tolist()))
