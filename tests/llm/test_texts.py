@@ -1,5 +1,7 @@
 """Credentials, splitting, leaks, mixing and toxicity."""
 
+import ast
+import json
 import random
 import re
 
@@ -51,6 +53,10 @@ HARMLESS = [
 ]
 
 
+def clean(text):
+    return "\n".join(re.sub(r"^[0-9]+: ", "", x) for x in text.split("\n"))
+
+
 def hits(spark, texts, paths=None):
     rows = chunk_rows([(t, (paths or ["p"] * len(texts))[i]) for i, t in enumerate(texts)])
     df = spark.createDataFrame(rows, CHUNKS)
@@ -135,6 +141,33 @@ def test_redaction_leaves_all_else(spark):
     assert again.count() <= 2
 
 
+def test_redacted_code_still_parses(spark):
+    body = ["Ab3+/xYz" * 8 for _ in range(4)]
+    pem = "\n".join(["-----BEGIN PRIVATE KEY-----", *body, "-----END PRIVATE KEY-----", ""])
+    account = {"type": "service_account", "private_key": pem, "client_id": "123", "list": [{"name": "API_KEY", "value": "q8Zr2LmX0vT4"}]}
+    literal = 'KEY = (\n    "-----BEGIN RSA PRIVATE KEY-----\\n"\n' + "".join(f'    "{x}\\n"\n' for x in body) + '    "-----END RSA PRIVATE KEY-----\\n"\n)\nother = 1'
+    triple = 'KEY = """-----BEGIN EC PRIVATE KEY-----\n' + "\n".join(body) + '\n-----END EC PRIVATE KEY-----"""\nother = [KEY, "x"]'
+    listed = "[\n" + ",\n".join(f'  "{x}"' for x in ["-----BEGIN PRIVATE KEY-----", *body, "-----END PRIVATE KEY-----"]) + "\n]"
+    long = json.dumps(account | {"filler": "lorem ipsum " * 9000})
+    sources = [json.dumps(account), json.dumps(account, indent=2), literal, triple, listed, long]
+    df, found = hits(spark, [numbered(x) for x in sources])
+    got = [clean(r["text"]) for r in sorted(redacted(df, "row_id", "documents", found).collect(), key=lambda r: r["id"])]
+    for source, text, read in zip(sources, got, [json.loads, json.loads, ast.parse, ast.parse, json.loads, json.loads]):
+        read(text)
+        assert len(text) == len(source) and body[0] not in text and "q8Zr2LmX0vT4" not in text and ("other" in text) == ("other" in source)
+    assert set(json.loads(got[0])) == set(account) and json.loads(got[0])["client_id"] == "123"
+    lines = {i: {r["line_no"] for r in found.collect() if r["id"] == i} for i in (3, 4)}
+    assert lines == {3: set(range(2, 8)), 4: set(range(1, 7))}
+
+
+@pytest.mark.parametrize("length", [300, 5000, 100_000])
+def test_secrets_in_long_lines(spark, length):
+    pads = ["lorem ipsum " * (length // 12), "x = [1, 2]; " * (length // 12), "a" * length + " "]
+    texts = [numbered(f"first\n{pad}{secret} {pad}") for pad in pads for secret in SECRETS[:6]]
+    _, found = hits(spark, texts)
+    assert sorted({(r["id"], r["line_no"]) for r in found.collect()}) == [(i, 2) for i in range(1, len(texts) + 1)]
+
+
 def test_no_chunks_no_credentials(spark):
     df = spark.createDataFrame([], CHUNKS)
     assert credentials(df, "row_id", "documents", F.col("path")).count() == 0

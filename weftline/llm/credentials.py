@@ -18,6 +18,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ RULES: dict[str, str] = {
     "cloud_id": r"""(?<![\w])(?P<v>(?:AKIA|ASIA|AIza)[\w-]{12,40})""",
 }
 # checks over several lines, and the words one of which they need
-CHECKS: dict[str, str] = {"private_key": r"PRIVATE KEY|PuTTY-User-Key-File", "over_lines": rf"{NAMES}", "table": rf"\|[^\n]{{0,80}}(?:{NAMES}|---)", "named_value": r"name"}
+CHECKS: dict[str, str] = {"private_key": r"-----|PuTTY|Private-", "over_lines": rf"{NAMES}", "table": rf"\|[^\n]{{0,80}}(?:{NAMES}|---)", "named_value": r"name"}
 
 # which of these a value is: nothing to hide
 _HARMLESS = re.compile(
@@ -70,6 +71,8 @@ _HARMLESS = re.compile(
 _CALL = re.compile(r"[A-Za-z_][\w.]*[(\[].*")
 _BODY = re.compile(r"[ \t]*[\"']?(?:[A-Za-z0-9+/]{16,}={0,2})(?:\\n)?[\"']{0,3}[,;]?[ \t]*\r?")
 _SHORT = re.compile(r"[ \t]*[\"']?[A-Za-z0-9+/]{2,}={0,2}(?:\\n)?[\"']{0,3}[,;]?[ \t]*\r?")
+_BLOCK_LETTERS = re.compile(r"[A-Za-z0-9+/]{2,}={0,2}")
+_LINE_END = re.compile(r"(?:\\[nr])*[\s\"'`,;+\\]*\Z")
 _HEADER = re.compile(r"[ \t]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID|Private-Lines|Public-Lines|Private-MAC|Encryption|Key-Derivation|Argon2-\w+)\s*:.*|[ \t]*\r?")
 _OPEN = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----|PuTTY-User-Key-File-\d")
 _CLOSE = re.compile(r"-----END ([A-Z0-9 ]*)-----|Private-MAC:")
@@ -143,8 +146,33 @@ class _Chunk:
                 yield self.numbers[k], self.at[k] + lo, self.at[k] + hi
             k += 1
 
-    def whole(self, k: int, kind: str = "value") -> tuple[int, int, int, str]:
-        return self.numbers[k], self.at[k], self.at[k] + len(self.lines[k]), kind
+    def key_part(self, k: int, kind: str = "value") -> tuple[int, int, int, str]:
+        """What line ``k`` holds of a key, without the quotes, names and commas around it."""
+        begin, end = _key_part(self.lines[k])
+        return self.numbers[k], self.at[k] + begin, self.at[k] + end, kind
+
+
+def _key_part(line: str) -> tuple[int, int]:
+    """Begin and end of the marker and key letters of a line that belongs to a key block."""
+    opened, closed = _OPEN.search(line), None
+    for closed in _CLOSE.finditer(line):
+        pass
+    if opened or closed:
+        if opened:
+            begin = opened.start()
+        else:
+            begin = next((m.start() for m in _BLOCK_LETTERS.finditer(line, 0, closed.start())), closed.start())
+        if closed and (not opened or closed.start() > begin):
+            return begin, len(line.rstrip()) if closed.group() == "Private-MAC:" else closed.end()
+        quote = line[begin - 1 : begin]
+        end = line.find(quote, begin) if quote in ("'", '"', "`") else -1
+        end = len(line) if end < 0 else end
+        return begin, begin + len(_LINE_END.sub("", line[begin:end]))
+    if _HEADER.fullmatch(line):
+        begin = len(line) - len(line.lstrip())
+        return begin, max(begin, len(line.rstrip()))
+    body = _BLOCK_LETTERS.search(line)
+    return body.span() if body else (0, len(line))
 
 
 def _private_keys(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
@@ -161,24 +189,24 @@ def _private_keys(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
             if closed and not opened and inside is None:
                 private = "PRIVATE" in closed.group()
                 if private:
-                    yield from (c.whole(j) for j in loose)
+                    yield from (c.key_part(j) for j in loose)
                 loose = []
             if opened and ("PRIVATE" in opened.group() or "PuTTY" in opened.group()) or closed and (inside == "private" or (inside is None and "PRIVATE" in closed.group())):
-                yield c.whole(k)
+                yield c.key_part(k)
             inside = None if closed and (not opened or closed.start() > opened.start()) else ("private" if "PRIVATE" in opened.group() or "PuTTY" in opened.group() else "other")
             loose = []
         elif inside is not None:
             if _SHORT.fullmatch(line) or _HEADER.fullmatch(line):
                 if inside == "private" and line.strip():
-                    yield c.whole(k)
+                    yield c.key_part(k)
             else:
                 inside = None
         elif _BODY.fullmatch(line) or (_SHORT.fullmatch(line) and (loose or k == 0) and any(map(_CLOSE.search, c.lines[k + 1 : k + 2]))):
             loose.append(k)
         elif line.strip():
-            yield from (c.whole(j, "loose") for j in loose)
+            yield from (c.key_part(j, "loose") for j in loose)
             loose = []
-    yield from (c.whole(j, "loose") for j in loose)
+    yield from (c.key_part(j, "loose") for j in loose)
 
 
 def _over_lines(c: _Chunk) -> Iterator[tuple[int, int, int, str]]:
@@ -371,13 +399,15 @@ def _scan(numbered: bool):
     # on texts in lower case, as matching without regard to case can't use the first letters
     compiled = {k: re.compile(p, re.MULTILINE) for k, p in RULES.items()}
     loose = re.compile(r"(?m)^(?:[0-9]+: )?[ \t]*[A-Za-z0-9+/]{40,}={0,2}[\"']{0,3}\r?$")
+    letters = np.zeros(128, dtype=bool)
+    letters[[ord(x) for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]] = True
     trees = {k: required(p) for k, p in {**RULES, **CHECKS}.items()}
     wanted = Wanted(list(trees.values()))
 
     def found(stored: str, rules: set[str]) -> set[tuple[int, int, int, str]]:
         c = _Chunk(stored, numbered)
         out: set[tuple[int, int, int, str]] = set()
-        if "-----" in stored or "PuTTY" in stored or "Private-" in stored or loose.search(stored):
+        if "private_key" in rules:
             out.update(_private_keys(c))
         for rule in sorted(rules - {"private_key"}):
             out.update(_OVER[rule](c) if rule in _OVER else _by_rule(rule, compiled[rule], c))
@@ -393,8 +423,11 @@ def _scan(numbered: bool):
                 for rule, tree in trees.items():
                     for t in segment.texts(tree).tolist():
                         rules[t].add(rule)
+                for t in segment.texts_with_run(letters, 40).tolist():
+                    if loose.search(texts[at[t]]):
+                        rules[t].add("private_key")
                 for i, some in zip(at.tolist(), rules):
-                    if some or loose.search(texts[i]):
+                    if some:
                         for line, b, e, kind in sorted(found(texts[i], some)):
                             for column, value in zip(out, (ids[i], paths[i], line, b, e, kind)):
                                 column.append(value)

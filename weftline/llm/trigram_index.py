@@ -126,6 +126,15 @@ class Segment:
         pairs = np.unique(which[real].astype(np.int64) * self.n + text)
         self.gram, self.text = pairs // max(self.n, 1), pairs % max(self.n, 1)
         self.wanted = wanted
+        self.block = block
+
+    def texts_with_run(self, letters: np.ndarray, least: int) -> np.ndarray:
+        """The texts with ``least`` or more signs of a class in a row, ascending: the postings of a class, which trigrams can't tell."""
+        codes = self.block.codes
+        inside = letters[np.minimum(codes, len(letters) - 1)] & (codes < len(letters))
+        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        return np.unique(np.searchsorted(self.block.start, begin[end - begin >= least], side="right") - 1)
 
     def postings(self, gram: str) -> np.ndarray:
         k = self.wanted.number[gram]
