@@ -85,6 +85,19 @@ def test_spans(spark, crowded, held):
         assert all(s["end"] - s["begin"] >= 60 for s in r["spans"])
 
 
+def test_windows_of_equal_hashes_are_compared_by_letters(monkeypatch):
+    from weftline.llm import shared_spans as module
+
+    real = module._window_hashes
+    monkeypatch.setattr(module, "_window_hashes", lambda runs, span: (real(runs, span)[0] % np.uint64(3), real(runs, span)[1]))
+    r = random.Random(4)
+    runs = ["".join(r.choice("ab") for _ in range(r.randrange(8, 25))) for _ in range(40)]
+    owners = np.array([r.randrange(4) for _ in runs])
+    found = module._verified_spans(runs, np.arange(40), owners, np.zeros(40, np.int64), 8).to_pylist()
+    got = {(f["id"], k) for f in found for k in range(f["begin"], f["end"] - 7)}
+    assert got == {(i, k) for i, x in enumerate(runs) for k in range(len(x) - 7) if any(owners[j] != owners[i] and x[k : k + 8] in y for j, y in enumerate(runs))}
+
+
 def test_no_spans(spark):
     df = spark.createDataFrame([], CHUNKS)
     assert shared_spans(df, "row_id", "documents", F.col("path")).count() == 0

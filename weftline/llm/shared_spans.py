@@ -4,18 +4,19 @@
    smallest hash in some window of ``span`` characters (winnowing), so any span of
    ``span`` characters shared by two texts yields the same phrase in both. A
    group-by keeps the phrases that recur under two different owners.
-2. Compile. The texts are partitioned by id; each shard of them has one
-   Aho-Corasick automaton of the confirmed phrases its texts yielded.
-3. Stream. Every text runs through its shard's automaton, which checks the
+2. Compile. The confirmed phrases are sharded by the texts that yielded them:
+   the texts are partitioned by id, and each shard of them has one Aho-Corasick automaton of its confirmed phrases.
+3. Stream. Every text runs through the automaton of its shard, which checks the
    phrases letter by letter and locates every occurrence, also those that
-   winnowing did not pick. A text that yields no confirmed phrase can hold no
-   shared span and passes none.
+   winnowing did not pick. Other shards are ruled out for a text: the smallest phrase of each of its windows is one
+   that it yielded itself, so a phrase of another shard only can't be the one that a window of it belongs to. A text that
+   yields no confirmed phrase is ruled out for all shards.
 4. Extend. Each window of ``span`` characters belongs to the smallest confirmed
    phrase inside it. The windows around an occurrence form one run, which is
-   sent to the partition of its phrase; there windows of two owners are matched,
-   and each run returns the stretches that stand elsewhere too. Phrases that
+   sent to the partition of its phrase; there, phrase by phrase, windows of two owners are matched by
+   hash and compared letter by letter, and each run returns the stretches that stand elsewhere too. Phrases that
    very many texts hold are not sent to one task: their windows are matched by a
-   group-by with map-side aggregation.
+   group-by of 128-bit hashes with map-side aggregation.
 """
 
 from __future__ import annotations
@@ -167,78 +168,119 @@ def _window_hashes(runs: list[str], span: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
 
 
-def _spans_of(flags: np.ndarray, counts: np.ndarray, ids: np.ndarray, begins: np.ndarray, span: int) -> pa.RecordBatch:
-    """Stretches of flagged windows as spans of the records."""
+def _verified_spans(runs: list[str], ids: np.ndarray, owners: np.ndarray, begins: np.ndarray, span: int) -> pa.RecordBatch:
+    """The stretches of the runs whose windows stand in a run of another owner, too.
+
+    Windows of one hash have the first window of the least and of the greatest owner as partners. A stretch follows one partner run at one
+    distance; the letters of both are compared, and should they differ, the stretch's windows are looked up by their letters.
+    """
+    h, counts = _window_hashes(runs, span)
+    base = np.cumsum(counts) - counts
     run = np.repeat(np.arange(len(counts)), counts)
-    inside = np.arange(len(flags)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-    at = np.flatnonzero(flags)
+    own = owners[run]
+    order = np.lexsort((np.arange(len(h)), own, h))
+    first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1]))) if len(h) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(h)))
+    # of each group of equal hashes: the first window of the least owner, and the first of the greatest
+    sorted_own = own[order]
+    last_own = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (sorted_own[1:] != sorted_own[:-1])))) if len(h) else first
+    greatest = last_own[np.searchsorted(last_own, first + sizes - 1, side="right") - 1] if len(h) else first
+    low, high = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+    low[order], high[order] = np.repeat(order[first], sizes), np.repeat(order[greatest], sizes)
+    at = np.flatnonzero(own[low] != own[high])
     if not len(at):
         return pa.RecordBatch.from_arrays([pa.array([], k.type) for k in _SPAN], schema=_SPAN)
-    new = np.concatenate(([True], (np.diff(at) > 1) | (run[at[1:]] != run[at[:-1]])))
+    partner = np.where(own[low[at]] != own[at], low[at], high[at])
+    new = np.concatenate(([True], (np.diff(at) > 1) | (run[at[1:]] != run[at[:-1]]) | (np.diff(partner) != 1) | (run[partner[1:]] != run[partner[:-1]])))
+    starts = np.flatnonzero(new)
+    flags = np.zeros(len(h), dtype=bool)
+    for b, n in zip(starts.tolist(), np.diff(np.append(starts, len(at))).tolist()):
+        w, p = int(at[b]), int(partner[b])
+        i, j = int(run[w]), int(run[p])
+        x, y = w - int(base[i]), p - int(base[j])
+        if runs[i][x : x + n + span - 1] == runs[j][y : y + n + span - 1]:
+            flags[w : w + n] = True
+        else:
+            for k in range(n):
+                letters = runs[i][x + k : x + k + span]
+                flags[w + k] = any(o != owners[i] and letters in r for o, r in zip(owners.tolist(), runs))
+    return _spans_of(flags, run, base, ids, begins, span)
+
+
+def _spans_of(flags: np.ndarray, run: np.ndarray, base: np.ndarray, ids: np.ndarray, begins: np.ndarray, span: int) -> pa.RecordBatch:
+    """Stretches of flagged windows as spans of the records."""
+    at = np.flatnonzero(flags)
+    new = np.concatenate(([True], (np.diff(at) > 1) | (run[at[1:]] != run[at[:-1]]))) if len(at) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
+    last = np.append(first[1:], len(at))[: len(first)] - 1
     r = run[at[first]]
-    begin, end = begins[r] + inside[at[first]], begins[r] + inside[at[last]] + span
+    begin, end = begins[r] + at[first] - base[r], begins[r] + at[last] - base[r] + span
     return pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], schema=_SPAN)
 
 
-def _matched(span: int):
-    """Spans of the runs of one partition; all runs of a phrase are in it."""
+def _matched(span: int, held: int = 1 << 20):
+    """Spans of the runs of one partition, which come sorted by phrase: whole phrases at a time, ``held`` characters of runs or one phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, ids, owners, begins = [], [], [], [], []
+        def spans() -> pa.RecordBatch:
+            return _verified_spans(runs, *(np.array(c, np.int64) for c in (ids, owners, begins)), span)
+
+        ids, owners, begins, runs, size, phrase = [], [], [], [], 0, None
         for batch in batches:
-            h, n = _window_hashes(batch.column(3).to_pylist(), span)
-            hashes.append(h)
-            counts.append(n)
-            for store, c in ((ids, 0), (owners, 1), (begins, 2)):
-                store.append(batch.column(c).to_numpy(zero_copy_only=False))
-        if not hashes:
-            return
-        h, n, own = np.concatenate(hashes), np.concatenate(counts), np.concatenate(owners)
-        hashes.clear()
-        order = np.argsort(h)
-        h, own = h[order], np.repeat(own, n)[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        if not len(h):
-            return
-        shared = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-        flags = np.zeros(len(h), dtype=bool)
-        flags[order] = np.repeat(shared, np.diff(np.append(first, len(h))))
-        yield _spans_of(flags, n, np.concatenate(ids), np.concatenate(begins), span)
+            for p, i, o, b, r in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != phrase and size >= held:
+                    yield spans()
+                    ids, owners, begins, runs, size = [], [], [], [], 0
+                phrase = p
+                size += len(r)
+                for store, x in ((ids, i), (owners, o), (begins, b), (runs, r)):
+                    store.append(x)
+        if runs:
+            yield spans()
 
     return run
 
 
+def _second_hashes(runs: list[str], span: int) -> np.ndarray:
+    """Other hashes of all windows of all runs, of the text turned round."""
+    h, counts = _window_hashes([r[::-1] for r in runs], span)
+    last = np.cumsum(counts)
+    return h[np.repeat(last + last - counts - 1, counts) - np.arange(len(h))]
+
+
 def _few_windows(span: int):
     """The distinct windows of some runs with the least and the greatest owner: the map side of the group-by."""
-    schema = pa.schema([("window", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+    schema = pa.schema([("window", pa.int64()), ("second", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, n = _window_hashes(batch.column(3).to_pylist(), span)
+            runs = batch.column(3).to_pylist()
+            h, n = _window_hashes(runs, span)
             if not len(h):
                 continue
-            own = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), n)
-            order = np.argsort(h)
-            h, own = h[order], own[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first))], schema=schema)
+            second, own = _second_hashes(runs, span), np.repeat(batch.column(1).to_numpy(zero_copy_only=False), n)
+            order = np.lexsort((second, h))
+            h, second, own = h[order], second[order], own[order]
+            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (second[1:] != second[:-1]))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[first].view(np.int64)), pa.array(second[first].view(np.int64)), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first))], schema=schema
+            )
 
     return run
 
 
 def _each_window(span: int):
-    schema = pa.schema([("id", pa.int64()), ("begin", pa.int32()), ("window", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("begin", pa.int32()), ("window", pa.int64()), ("second", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for offset in range(0, whole.num_rows, 1000):
                 batch = whole.slice(offset, 1000)
-                h, n = _window_hashes(batch.column(3).to_pylist(), span)
+                runs = batch.column(3).to_pylist()
+                h, n = _window_hashes(runs, span)
                 ids, begins = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in (0, 2))
                 begins = begins + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(begins.astype(np.int32)), pa.array(h.view(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(begins.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(_second_hashes(runs, span).view(np.int64))], schema=schema)
 
     return run
 
@@ -246,12 +288,18 @@ def _each_window(span: int):
 def _crowded_spans(runs: DataFrame, span: int, held: int) -> DataFrame:
     """(id, begin, end) for runs of phrases too common for one task each."""
     runs = runs.select("id", "owner", "begin", "run")
-    few = runs.mapInArrow(_few_windows(span), "window bigint, lo bigint, hi bigint").groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    twice = durable(few.where("lo <> hi").select("window"))
+    window = ["window", "second"]
+    few = runs.mapInArrow(_few_windows(span), "window bigint, second bigint, lo bigint, hi bigint").groupBy(*window).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    twice = durable(few.where("lo <> hi").select(*window))
     if twice.count() <= held:
         twice = F.broadcast(twice)
-    each = runs.mapInArrow(_each_window(span), "id bigint, begin int, window bigint")
-    return each.join(twice, "window").select("id", "begin", (F.col("begin") + span).cast("int").alias("end"))
+    each = runs.mapInArrow(_each_window(span), "id bigint, begin int, window bigint, second bigint")
+    return each.join(twice, window).select("id", "begin", (F.col("begin") + span).cast("int").alias("end"))
+
+
+def _matched_spans(runs: DataFrame, parts: int, span: int) -> DataFrame:
+    sorted_runs = runs.repartition(parts, "phrase").sortWithinPartitions("phrase").select("phrase", "id", "owner", "begin", "run")
+    return sorted_runs.mapInArrow(_matched(span), "id bigint, begin int, end int")
 
 
 def shared_spans(records: DataFrame, id: str, text: str, owner: Column, span: int = 200, phrase: int = 40, numbered: bool = False, crowded: int = 5000, held: int = HELD) -> DataFrame:
@@ -263,6 +311,7 @@ def shared_spans(records: DataFrame, id: str, text: str, owner: Column, span: in
     don't come out. Null texts share nothing; texts shorter than ``span``
     neither; a null owner is an owner like any other; repeated rows of one owner don't make a span
     shared; rows with one id are taken as one record. Extra columns are ignored.
+    Letters are compared except for windows of crowded phrases, which count as equal by a 128-bit hash.
     ``crowded``: the number of occurrences from which a phrase is matched by group-by; ``held``: the number of
     its shared windows up to which Spark broadcasts them for their join.
 
@@ -288,10 +337,10 @@ def shared_spans(records: DataFrame, id: str, text: str, owner: Column, span: in
 
     parts = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + recurring.count() // 20000)
     if recurring.where("crowded").isEmpty():
-        spans = runs.repartition(parts, "phrase").select("id", "owner", "begin", "run").mapInArrow(_matched(span), "id bigint, begin int, end int")
+        spans = _matched_spans(runs, parts, span)
     else:
         runs = durable(runs)
-        spans = runs.where("not crowded").repartition(parts, "phrase").select("id", "owner", "begin", "run").mapInArrow(_matched(span), "id bigint, begin int, end int")
+        spans = _matched_spans(runs.where("not crowded"), parts, span)
         spans = spans.unionByName(_crowded_spans(runs.where("crowded"), span, held))
     listed = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("parts"))
     # neighbouring stretches are one span where they leave no window out: the next begins at most one place after the last window of the one before
