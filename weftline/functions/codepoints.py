@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from weftline.functions.text import BLANK_SIGNS
+
 LINE_NUMBER = re.compile(r"(?m)^[0-9]+: ")
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -46,6 +48,14 @@ def word_table() -> np.ndarray:
     return t
 
 
+@lru_cache(1)
+def sign_table() -> np.ndarray:
+    """True at each code point that is neither in a word nor white space."""
+    t = ~word_table()
+    t[[ord(c) for c in BLANK_SIGNS]] = False
+    return t
+
+
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 BLANKS = r"\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s{BLANKS}]"
+BLANK_SIGNS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CUT = "... [cut]"
 
 
@@ -31,17 +32,17 @@ def lines(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, rf"^[\s{BLANKS}]+", ""), rf"[\s{BLANKS}]+$", "")
+    return F.btrim(text, F.lit(BLANK_SIGNS))
 
 
 def rstrip(text: Column) -> Column:
     """Without white space of any kind at the end."""
-    return F.regexp_replace(text, rf"[\s{BLANKS}]+$", "")
+    return F.rtrim(text, F.lit(BLANK_SIGNS))
 
 
 def is_blank(text: Column) -> Column:
     """Null, empty, or only white space."""
-    return F.coalesce(F.length(strip(text)) == 0, F.lit(True))
+    return F.coalesce(~F.rlike(text, F.lit(rf"[^\s{BLANKS}]")), F.lit(True))
 
 
 def cut_to(text: Column, limit: int, marker: str = CUT) -> Column:

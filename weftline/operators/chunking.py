@@ -60,5 +60,5 @@ def indexed(files: DataFrame, path: str, content: str, size: int = 1000, overlap
 
     ``chunk_index`` isn't renumbered where short chunks are left out.
     """
-    found = chunks(files.where(~is_blank(F.col(content))), path, content, size, overlap).where(F.length(strip(F.col("clean"))) >= least)
+    found = chunks(files.where(~is_blank(F.col(content))), path, content, size, overlap).where((F.length("clean") >= least) & (F.length(strip(F.col("clean"))) >= least))
     return found.withColumn("id", F.concat("path", F.lit("::chunk"), F.col("chunk_index").cast("string")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import extension
+from weftline.sources.tables import durable
 
 # Endings of documentation, and what marks a prompt's example.
 DOCUMENTATION = (".md", ".rst", ".txt")
@@ -57,12 +58,14 @@ def fuse(vector: DataFrame, lexical: DataFrame, mode: str = "hybrid", k: int = K
     return both.select("query_id", "id", "vector_rank", "bm25_rank", *zero, (contribution(F.col("vector_rank"), k) + contribution(F.col("bm25_rank"), k)).alias("rrf"))
 
 
-def ranked(fused: DataFrame, details: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` best hits of each query after demotion, with ``position`` from 1.
+def ranked(fused: DataFrame, details: DataFrame, n: int = 5, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """The ``n`` best hits of each query after demotion, with ``position`` from 1; of each value of the columns ``by``.
 
-    ``details``: id, path, text. Ties by vector rank, then lexical rank, missing ones last, then id.
+    The fused candidates are written first: being few, they are broadcast by their measured size and no text is shuffled. ``details``: id, path, text. Ties by vector rank, then lexical rank, missing ones last, then id.
     """
-    found = fused.join(details.select("id", "path", "text"), "id", "left")
+    fused = durable(fused)
+    known = details.select("id", "path", "text").join(fused.select("id").distinct(), "id", "left_semi")
+    found = fused.join(known, "id", "left")
     found = found.withColumn("score", F.round(F.col("rrf") * demotion(F.col("path"), F.col("text")), 9))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vector_rank").asc_nulls_last(), F.col("bm25_rank").asc_nulls_last(), "id")
+    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col("vector_rank").asc_nulls_last(), F.col("bm25_rank").asc_nulls_last(), "id")
     return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)

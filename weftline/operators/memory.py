@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import is_blank
+from weftline.sources.tables import stamp
 
 
 def latest(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
@@ -72,6 +73,10 @@ class Collection:
         version = self._current()
         return self.spark.createDataFrame([], schema) if version is None else self.spark.read.schema(schema).parquet(f"{self.root}/{version}")
 
+    def version(self) -> str | None:
+        """What changes with every change of the rows."""
+        return stamp(self.spark, self.root) if self._fs.exists(self._path) else None
+
     def write(self, rows: DataFrame) -> None:
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.root}/{version}")

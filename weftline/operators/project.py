@@ -22,6 +22,7 @@ class Project:
     def __init__(self, spark: SparkSession, folder: str, provider: EmbeddingProvider | None = None):
         self.spark, self.provider = spark, provider
         self.store = memory.Collection(spark, folder, "project_files_hybrid")
+        self._index: tuple[str | None, lexical.LexicalIndex] | None = None
         files.register(spark)
 
     def _chunks(self, read: DataFrame) -> DataFrame:
@@ -45,13 +46,20 @@ class Project:
         """(files, chunks) stored."""
         return self.store.read(FORM).agg(F.countDistinct("path").alias("files"), F.count("*").alias("chunks"))
 
+    def _lexical(self) -> lexical.LexicalIndex:
+        """The lexical index, built at the first search and again after the chunks have changed."""
+        version = self.store.version()
+        if self._index is None or self._index[0] != version:
+            self._index = version, lexical.LexicalIndex(self.store.read(FORM), "id", "documents")
+        return self._index[1]
+
     def search(self, questions: DataFrame, n: int = 5, mode: str = "hybrid") -> DataFrame:
         """The ``n`` best chunks for each question (query_id, query); blank questions find nothing."""
         rows = self.store.read(FORM)
         asked = questions.where(~is_blank(F.col("query")))
         vectors = embedded(asked, F.col("query"), self.provider, "search_query")
         near = vector.nearest(rows, "id", "embedding", vectors, "query_id", "embedding", hybrid.pool_size(n))
-        words = lexical.search(rows, "id", "documents", asked, "query_id", "query", hybrid.pool_size(n))
+        words = self._lexical().search(asked, "query_id", "query", hybrid.pool_size(n))
         return hybrid.ranked(hybrid.fuse(near, words, mode), rows.select("id", "path", F.col("documents").alias("text")), n)
 
     def ask(self, questions: DataFrame, n: int = 5, mode: str = "hybrid") -> DataFrame:

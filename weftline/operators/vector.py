@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import acos
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from weftline.operators.lexical import best
 from weftline.sources.tables import durable
 
 
+#: Queries of one pass: 80 MB of 200 numbers each.
+QUERIES = 50_000
+
+
 def _doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -37,20 +43,66 @@ def _measured(rows: DataFrame, id: str, vector: str, as_id: str, as_vector: str)
     return read.withColumn(f"{as_vector}_norm", norm(F.col(as_vector))).where(F.col(f"{as_vector}_norm") > 0)
 
 
-def distances(corpus: DataFrame, id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str) -> DataFrame:
+def _gathered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of an Arrow batch side by side, one row for each length of vectors: ids, and their vectors of unit length as a matrix."""
+    for batch in batches:
+        ids, vectors = batch.column(0), batch.column(1)
+        lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        for size in np.unique(lengths[lengths > 0]).tolist():
+            chosen = np.flatnonzero(lengths == size)
+            flat = vectors.take(pa.array(chosen)).flatten()
+            matrix = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+            norm = np.linalg.norm(matrix, axis=1)
+            good = np.flatnonzero(norm > 0)
+            if len(good):
+                held = ids.take(pa.array(chosen[good]))
+                lists = pa.ListArray.from_arrays(pa.array([0, len(good)], pa.int32()), held)
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), lists, pa.array([(matrix[good] / norm[good, None]).tobytes()], pa.binary())], ["size", "ids", "matrix"])
+
+
+def _side_by_side(rows: DataFrame, id: str, vector: str) -> DataFrame:
+    read = rows.select(F.col(id).alias("id"), F.col(vector).alias("vector"))
+    return read.mapInArrow(_gathered_rows, f"size int, ids array<{read.schema['id'].dataType.simpleString()}>, matrix binary")
+
+
+def _products(n: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                size = batch.column(0)[k].as_py()
+                asked, found = batch.column(1)[k].values, batch.column(3)[k].values
+                q, m = (np.frombuffer(batch.column(c)[k].as_py()).reshape(-1, size) for c in (2, 4))
+                far = np.round(1 - q @ m.T, 9) + 0.0
+                if n is None or n >= far.shape[1]:
+                    i, j = (x.ravel() for x in np.indices(far.shape))
+                else:  # all that are as near as the n-th, as ties go by id
+                    i, j = np.nonzero(far <= np.partition(far, n - 1, axis=1)[:, n - 1 : n])
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(i)), found.take(pa.array(j)), pa.array(far[i, j])], ["query_id", "id", "distance"])
+
+    return run
+
+
+def distances(corpus: DataFrame, id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, n: int | None = None) -> DataFrame:
     """(query_id, id, distance) for a stated set of queries against all rows. Null and zero vectors don't come out.
 
-    Lengths are worked out once per row and once per query, so a pair costs one product.
+    Rows and queries meet as matrices, a batch of each at a time, by one product. With ``n`` only the n nearest of each
+    batch of rows, and those as near as the last of them, leave the task. Vectors of different lengths don't meet.
+    The queries are counted; every ``QUERIES`` of them are broadcast for one pass over the rows.
     """
-    asked = _measured(queries, query_id, query_vector, "query_id", "_query")
-    found = _measured(corpus, id, vector, "id", "_vector").crossJoin(F.broadcast(asked))
-    cosine = dot(F.col("_vector"), F.col("_query")) / (F.col("_vector_norm") * F.col("_query_norm"))
-    return found.select("query_id", "id", (F.round(1 - cosine, 9) + 0.0).alias("distance"))
+    found, parts = _side_by_side(corpus, id, vector), max(1, -(-queries.count() // QUERIES))
+    out = []
+    for k in range(parts):
+        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == k)
+        asked = _side_by_side(some, query_id, query_vector).select("size", F.col("ids").alias("asked"), F.col("matrix").alias("q"))
+        met = found.join(F.broadcast(asked), "size").select("size", "asked", "q", "ids", "matrix")
+        kinds = [met.schema[c].dataType.elementType.simpleString() for c in ("asked", "ids")]
+        out.append(met.mapInArrow(_products(n), f"query_id {kinds[0]}, id {kinds[1]}, distance double"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def nearest(corpus: DataFrame, id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, n: int = 5) -> DataFrame:
     """(query_id, id, distance, rank): the ``n`` nearest rows of each query; ties by id."""
-    return best(distances(corpus, id, vector, queries, query_id, query_vector), n, "distance", ascending=True)
+    return best(distances(corpus, id, vector, queries, query_id, query_vector, n), n, "distance", ascending=True)
 
 
 def confidence(distance: Column) -> Column:

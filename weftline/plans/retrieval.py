@@ -41,15 +41,19 @@ def _vector_pool(spark: SparkSession, folder: str) -> DataFrame:
     return vector.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", _asked_vectors(spark, folder), "item_id", "embedding", POOL)
 
 
+def _index(spark: SparkSession, folder: str) -> lexical.LexicalIndex:
+    return lexical.index_of(spark, folder, "project_files_hybrid", "row_id", "documents")
+
+
 def _lexical_pool(spark: SparkSession, folder: str, n: int = POOL) -> DataFrame:
-    return lexical.search(_chunks(spark, folder), "row_id", "documents", _questions(spark, folder), "item_id", "query", n)
+    return _index(spark, folder).search(_questions(spark, folder), "item_id", "query", n)
 
 
 def _hits(spark: SparkSession, folder: str, *modes: str) -> DataFrame:
     """The hits of each mode; the two pools of candidates are made once for all."""
     pools = durable(_vector_pool(spark, folder)), durable(_lexical_pool(spark, folder))
-    ranked = (hybrid.ranked(hybrid.fuse(*pools, m), _details(spark, folder), N).withColumn("mode", F.lit(m)) for m in modes)
-    return reduce(DataFrame.unionByName, ranked)
+    fused = reduce(DataFrame.unionByName, (hybrid.fuse(*pools, m).withColumn("mode", F.lit(m)) for m in modes))
+    return hybrid.ranked(fused, _details(spark, folder), N, ("mode", "query_id"))
 
 
 _TOKENS = f"coalesce(regexp_extract_all(lower(documents), '{TOKEN}'), [])"
@@ -115,8 +119,8 @@ def _whole(df: DataFrame, *names: str) -> DataFrame:
 
 @PLANS.query(f"SELECT row_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT row_id, {_TOKENS} AS t FROM project_files_hybrid)")
 def tokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
-    found = lexical.tokenised(_chunks(spark, folder), "row_id", "documents")
-    return found.select(F.col("id").alias("row_id"), F.col("dl").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("bigint").alias("n_distinct"))
+    found = lexical.counted(_chunks(spark, folder), "row_id", "documents").where("term is null")
+    return found.select(F.col("id").alias("row_id"), F.col("dl").alias("n_tokens"), F.col("tf").alias("n_distinct"))
 
 
 @PLANS.query(f"SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest({_TOKENS}) AS term FROM project_files_hybrid) GROUP BY ALL")
@@ -145,7 +149,7 @@ def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
 @PLANS.query(f"WITH {_bm25_sql('query || chr(32) || query || chr(32) || passage', 10)} SELECT query_id, id, score, rank::BIGINT AS rank FROM bm")
 def bm25_repeated_terms(spark: SparkSession, folder: str) -> DataFrame:
     asked = _questions(spark, folder).withColumn("query", F.concat_ws(" ", "query", "query", "passage"))
-    return _whole(lexical.search(_chunks(spark, folder), "row_id", "documents", asked, "item_id", "query", 10), "rank")
+    return _whole(_index(spark, folder).search(asked, "item_id", "query", 10), "rank")
 
 
 _EVERY_20TH = f"SELECT v.vec_id AS query_id, e.vec_id AS id, {_DISTANCE} AS distance FROM embeddings e CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) v"

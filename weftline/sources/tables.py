@@ -8,6 +8,7 @@ columnar and compressed, and is read again with column pruning.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -21,6 +22,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """What changes when a table's files do: their names, lengths and times."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while listed.hasNext():
+        f = listed.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (a local master)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
