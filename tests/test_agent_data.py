@@ -28,9 +28,26 @@ def test_calls_in_text():
     assert len(toolcalls.calls_in(f"{{broken {plain}", KNOWN)) == 1
 
 
+def test_calls_behind_repaired_and_unreadable_ones():
+    call = '{"name": "calculator", "arguments": {"expression": "3"}}'
+    path = r'{"name": "read_file", "arguments": {"path": "C:\dir\x\q\z"}}'
+    assert [c["name"] for c in toolcalls.calls_in(f"{path} {call} {path}{call}", KNOWN)] == ["read_file", "calculator"] * 2
+    for start in ("{", '{"a":', '{"a":["\\', '{"a": "{', '{"a": {"b": 1}, "c": ['):
+        began = time.process_time()
+        assert [c["name"] for c in toolcalls.calls_in(start * 50_000 + " " + call, KNOWN)] == ["calculator"], start
+        assert time.process_time() - began < 5, start
+
+
+def test_calculator_on_a_column(spark):
+    given = ["(15 * 7) + 3", "1/0", "__import__('os').getcwd()", "2+2", "9**9**9", "-7 // 2", "7 % -3", "x", "", "True", None, "1" + "+1" * 600]
+    want = ["108", calc.DIVISION, calc.FORBIDDEN, "4", calc.FORBIDDEN, "-4", "-2", calc.FORBIDDEN, calc.FORBIDDEN, "True", None, calc.FORBIDDEN]
+    df = spark.createDataFrame([(i, e) for i, e in enumerate(given)], "i int, e string")
+    assert [r["v"] for r in df.select("i", calc.answers(F.col("e")).alias("v")).orderBy("i").collect()] == want
+
+
 def test_unknown_names():
-    text = '{"name": "send_email", "arguments": {}} {"name": "send_email", "parameters": 1} {"name": "calculator", "arguments": {}} {"name": "Bob"}'
-    assert toolcalls.unknown_names_in(text, KNOWN) == ["send_email"]
+    text = '{"name": "post_letter", "arguments": {}} {"name": "post_letter", "parameters": 1} {"name": "calculator", "arguments": {}} {"name": "Ann"}'
+    assert toolcalls.unknown_names_in(text, KNOWN) == ["post_letter"]
     assert toolcalls.unknown_names_in('{"name": "x"}', KNOWN) == []
 
 

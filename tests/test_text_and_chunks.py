@@ -28,14 +28,14 @@ def rows(spark, texts):
 
 
 def test_chunks_of_numbered_lines(spark):
-    text = "\n".join(f"строка {i}" for i in range(1, 201))
-    found = chunking.chunks(rows(spark, [text]), "path", "text", 200, 3).orderBy("chunk_index").collect()
+    text = "\n".join(f"Zeile Nr. {i} von vielen" for i in range(1, 91))
+    found = chunking.chunks(rows(spark, [text]), "path", "text", 310, 4).orderBy("chunk_index").collect()
     assert len(found) > 1
-    assert found[0]["numbered"].startswith("1: строка 1\n")
-    assert found[1]["start_line"] == found[0]["n_lines"] - 2
+    assert found[0]["numbered"].startswith("1: Zeile Nr. 1 von vielen\n")
+    assert found[1]["start_line"] == found[0]["n_lines"] - 3
     numbers = [int(x.split(":")[0]) for x in found[1]["numbered"].split("\n")]
     assert numbers == list(range(numbers[0], numbers[0] + len(numbers)))
-    assert {n for r in found for n in range(r["start_line"], r["start_line"] + r["n_lines"])} == set(range(1, 201))
+    assert {n for r in found for n in range(r["start_line"], r["start_line"] + r["n_lines"])} == set(range(1, 91))
 
 
 def test_chunk_edges(spark):

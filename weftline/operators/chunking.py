@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import is_blank, lines, strip, unix_lines
+from weftline.sources.tables import spread
 
 _STATE = "struct<out:array<struct<start:int,n:int>>,start:int,n:int,size:bigint,recent:array<int>>"
 
@@ -60,5 +61,5 @@ def indexed(files: DataFrame, path: str, content: str, size: int = 1000, overlap
 
     ``chunk_index`` isn't renumbered where short chunks are left out.
     """
-    found = chunks(files.where(~is_blank(F.col(content))), path, content, size, overlap).where((F.length("clean") >= least) & (F.length(strip(F.col("clean"))) >= least))
+    found = chunks(spread(files.select(path, content)).where(~is_blank(F.col(content))), path, content, size, overlap).where((F.length("clean") >= least) & (F.length(strip(F.col("clean"))) >= least))
     return found.withColumn("id", F.concat("path", F.lit("::chunk"), F.col("chunk_index").cast("string")))

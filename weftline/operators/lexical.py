@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.codepoints import Block, blocks, sign_table, span_hash
 from weftline.functions.text import TOKEN, tokens
-from weftline.sources.tables import durable, stamp, table
+from weftline.sources.tables import durable, spread, stamp, table
 
 B = 0.75
 
@@ -84,7 +84,7 @@ def counted(texts: DataFrame, id: str, text: str, only: list[str] | None = None)
 
     Null texts have no tokens, as empty ones. Rows of one id are texts of their own.
     """
-    read = texts.select(F.col(id).alias("id"), F.lower(text).alias("text"))
+    read = spread(texts.select(F.col(id).alias("id"), F.col(text).alias("text"))).select("id", F.lower("text").alias("text"))
     return read.mapInArrow(_counted(only), f"id {read.schema['id'].dataType.simpleString()}, term string, tf bigint, dl bigint")
 
 

@@ -9,18 +9,20 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.tables import spread
+
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.DOTALL)
+_PART = re.compile(r'"(?:[^"\\]|\\.)*+"|[{}]', re.DOTALL)
 _DECODER = json.JSONDecoder()
 _CALLS = "array<struct<name:string,arguments:string>>"
 _CALL_TYPE = pa.list_(pa.struct([("name", pa.string()), ("arguments", pa.string())]))
-#: Braces tried per text: beyond any message, and a bound on the work for hostile ones.
-MOST_BRACES = 100_000
 
 
 def _decoded(text: str) -> dict | list | str | float | None:
@@ -30,28 +32,67 @@ def _decoded(text: str) -> dict | list | str | float | None:
         return None
 
 
+class _Unlined(str):
+    """A text whose errors carry no line number, as counting lines anew for every error would take time by the square."""
+
+    def count(self, *_: object) -> int:
+        return 0
+
+    def rfind(self, *_: object) -> int:
+        return -1
+
+
+class _Reader:
+    """Reads objects at braces of one text. No stretch is read again and again, as braces that must fail are remembered.
+
+    If reading fails at some place, it fails there from each brace too that was still open, so those aren't tried.
+    """
+
+    def __init__(self, text: str):
+        self.text = _Unlined(text)
+        self.hopeless: set[int] = set()
+
+    def read(self, at: int) -> tuple[object, int] | None:
+        """The object at a brace and the place after it, or None."""
+        if at in self.hopeless:
+            return None
+        try:
+            return _DECODER.raw_decode(self.text, at)
+        except json.JSONDecodeError as e:
+            failed = e.pos
+        except RecursionError:
+            failed = len(self.text)
+        open_braces = []
+        for part in _PART.finditer(self.text, at, failed):
+            if part.group() == "{":
+                open_braces.append(part.start())
+            elif part.group() == "}" and open_braces:
+                open_braces.pop()
+        self.hopeless.update(open_braces)
+        return None
+
+
 def objects_in(text: str, repair: bool) -> Iterator[object]:
     """The JSON objects that begin at a brace of the text; an object's inside isn't looked at again.
 
     With ``repair``, one that can't be read is tried once more with its backslashes doubled, as Windows paths need.
+    Takes time in proportion to the text.
     """
+    slashes = [m.start() for m in re.finditer(r"\\", text)] if repair else []
+    plain, doubled = _Reader(text), _Reader(text.replace("\\", "\\\\")) if slashes else None
+    # where the second of each pair stands in the doubled text
+    seconds = [place + i + 1 for i, place in enumerate(slashes)]
     at = text.find("{")
-    for _ in range(MOST_BRACES):
-        if at < 0:
-            return
-        stop = at + 1
-        tries = [(text, at)]
-        if repair and "\\" in text[at:]:
-            tries.append((text[at:].replace("\\", "\\\\"), 0))
-        for k, (source, begin) in enumerate(tries):
-            try:
-                found, end = _DECODER.raw_decode(source, begin)
-            except (ValueError, RecursionError):
-                continue
-            yield found
-            # what was doubled counts once in the original text
-            stop = end if k == 0 else at + end
-            break
+    while at >= 0:
+        found, stop = plain.read(at), at + 1
+        if found:
+            yield found[0]
+            stop = found[1]
+        elif doubled and slashes[-1] > at:
+            found = doubled.read(at + bisect_left(slashes, at))
+            if found:
+                yield found[0]
+                stop = found[1] - bisect_left(seconds, found[1])
         at = text.find("{", stop)
 
 
@@ -97,13 +138,15 @@ def mentions_tool(text: str | None, tool: str) -> bool:
     """Whether an object beginning at any brace, also inside another, calls the tool."""
     if not text or tool not in text:
         return False
-    for m in re.finditer(r"\{", text):
-        try:
-            found, _ = _DECODER.raw_decode(text, m.start())
-        except (ValueError, RecursionError):
-            continue
-        if any(c.get("name") == tool for c in _candidates(found)):
-            return True
+    waiting = list(objects_in(text, repair=False))
+    while waiting:
+        found = waiting.pop()
+        if isinstance(found, dict):
+            if any(c.get("name") == tool for c in _candidates(found)):
+                return True
+            waiting += found.values()
+        elif isinstance(found, list):
+            waiting += found
     return False
 
 
@@ -118,7 +161,7 @@ def with_text_calls(messages: DataFrame, content: str, known: list[str]) -> Data
             [pa.array([calls_in(t, names) for t in some], _CALL_TYPE), pa.array([unknown_names_in(t, names) for t in some], pa.list_(pa.string()))], ["calls", "unknown"]
         )
 
-    return messages.withColumn("_found", scan(F.col(content))).select(*messages.columns, F.col("_found.calls").alias("text_calls"), F.col("_found.unknown").alias("unknown_tools"))
+    return spread(messages).withColumn("_found", scan(F.col(content))).select(*messages.columns, F.col("_found.calls").alias("text_calls"), F.col("_found.unknown").alias("unknown_tools"))
 
 
 def native_calls(tool_calls: Column) -> Column:

@@ -206,3 +206,11 @@ def calc_floor_mod(spark: SparkSession, folder: str) -> DataFrame:
         calc.compiled("cust // rest", names).cast("bigint").alias("by_zero"),
         F.round(calc.compiled("eleventh ** 2", names), 6).alias("squared"),
     )
+
+
+@PLANS.query()
+def calc_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """The answer to every call that carries an expression."""
+    calls = _chat(spark, folder).select("msg_id", F.posexplode("tool_calls").alias("nth", "call"))
+    asked = calls.select("msg_id", F.col("nth").cast("bigint").alias("nth"), F.try_element_at("call.function.arguments", F.lit("expression")).alias("expression"))
+    return asked.where("expression is not null").withColumn("answer", calc.answers(F.col("expression")))
