@@ -168,6 +168,13 @@ def test_secrets_in_long_lines(spark, length):
     assert sorted({(r["id"], r["line_no"]) for r in found.collect()}) == [(i, 2) for i in range(1, len(texts) + 1)]
 
 
+def test_token_counts_of_long_texts():
+    encoding = mixing._encoding(tokenizer_file())
+    for text in ("ab c, 12 " * 40_000, "x" * 150_000, "a" + " " * 60_000 + "b" + "\n" * 70_000, " " * 60_000, "1" * 120_000 + "\t" * 50_001 + " z"):
+        assert mixing.count_tokens(encoding, text) == len(encoding.encode_ordinary(text))
+    assert mixing.count_tokens(encoding, "a" + " " * 2_000_000 + "b") > 2
+
+
 def test_no_chunks_no_credentials(spark):
     df = spark.createDataFrame([], CHUNKS)
     assert credentials(df, "row_id", "documents", F.col("path")).count() == 0

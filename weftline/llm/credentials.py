@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.codepoints import blocks
 from weftline.llm.trigram_index import Segment, Wanted, required
-from weftline.sources.tables import durable
+from weftline.sources.tables import durable, spread
 
 #: Lines of a key block at most between a marker and a chunk without one; four times the largest key in use.
 REACH = 256
@@ -445,7 +445,7 @@ def credentials(chunks: DataFrame, id: str, text: str, path: Column, numbered: b
     all chunks only hits, markers and key lines without a marker leave the scan.
     """
     picked = chunks.select(F.col(id).cast("bigint").alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.col(text).alias("text")).where("text is not null")
-    seen = durable(picked.mapInArrow(_scan(numbered), "id bigint, path string, line_no int, begin int, end int, kind string"))
+    seen = durable(spread(picked).mapInArrow(_scan(numbered), "id bigint, path string, line_no int, begin int, end int, kind string"))
     sure = seen.where("kind = 'value'").select("id", "line_no", "begin", "end")
     loose = seen.where("kind = 'loose'").withColumn("cell", F.explode(F.array(*(F.floor(F.col("line_no") / REACH) + d for d in (-1, 0, 1)))))
     marks = seen.where("kind like 'open%' or kind like 'close%'").select("path", F.col("line_no").alias("mark"), F.col("kind").alias("what")).distinct()

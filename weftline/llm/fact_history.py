@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.codepoints import blocks, distinct_within, mix, word_hashes
-from weftline.sources.tables import durable, shared_folder
+from weftline.sources.tables import durable, shared_folder, spread
 
 PIVOTS = 8
 #: Facts of a batch up to which their keys (some thirty a fact, a hundred bytes each) are broadcast to the history's scan; beyond it both sides are shuffled.
@@ -143,7 +143,7 @@ def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def described(facts: DataFrame, id: str, text: str, batch: str) -> DataFrame:
     """The facts that have a word: word sets by hash, distances to the pivots and keys."""
     picked = facts.select(F.col(id).cast("bigint").alias("id"), F.coalesce(F.col(batch).cast("int"), F.lit(_LAST)).alias("batch"), F.col(text).alias("text"))
-    return picked.where("text is not null").mapInArrow(_described, _FORM)
+    return spread(picked).where("text is not null").mapInArrow(_described, _FORM)
 
 
 def _with_firsts(sets: DataFrame) -> DataFrame:

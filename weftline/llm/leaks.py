@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.codepoints import Block, blocks, mix, word_hashes
+from weftline.sources.tables import spread
 
 _PAIR = "doc_id bigint, item_id bigint, kind string, first int, last int, cosine double, common int, answer boolean"
 _SCHEMA = pa.schema(
@@ -283,7 +284,7 @@ def leaks(documents: DataFrame, tests: DataFrame, run: int = 12, rank: int = 256
     ``items``: test items taken at a time, each block in its own passes over the documents.
     """
     spark = documents.sparkSession
-    picked = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
+    picked = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).where("text is not null")
     wanted = tests.select("item_id", "passage", "query", "expected").where("passage is not null").orderBy("item_id", "passage")
     rows = wanted.toLocalIterator(prefetchPartitions=False)
     out = None

@@ -15,6 +15,7 @@ records, whose blocks get their slots from it by a join.
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,34 +23,47 @@ from functools import lru_cache
 from math import gcd
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.sources.tables import durable
+from weftline.sources.tables import durable, spread
 
+#: Weights are rounded to whole parts of this, so a share is off by 1 / PERIOD at most; a smaller one counts as one part.
 PERIOD = 10_000
+# White space as the tokenizer's pattern reads it.
+_LONG_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
 
 
 @lru_cache(2)
 def _encoding(path: str):
     import public_tokenizers
-    import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def count_tokens(encoding: tiktoken.Encoding, text: str) -> int:
+    """The number of tokens, also for runs of blanks too long for the tokenizer's pattern.
+
+    The pattern makes such a run a token piece of its own, up to its last blank where something follows.
+    """
+    total = start = 0
+    for m in _LONG_BLANKS.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        total += len(encoding.encode_ordinary(text[start : m.start()])) + len(encoding._encode_single_piece(text[m.start() : end]))
+        start = end
+    return total + len(encoding.encode_ordinary(text[start:]))
+
+
 def _sizes(path: str):
     schema = pa.schema([("id", pa.int64()), ("source", pa.string()), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(path)
         for batch in batches:
-            sizes = []
-            for t in batch.column(2).to_pylist():
-                # in stretches of lines, as one run of letters without end would take time by its square
-                sizes.append(sum(len(encoding.encode_ordinary(t[i : i + 100_000])) for i in range(0, len(t), 100_000)))
+            sizes = [count_tokens(encoding, t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], schema=schema)
 
     return run
@@ -121,7 +135,7 @@ class Mixture:
         spark = documents.sparkSession
         wanted = targets.where("target_share > 0 and source is not null").groupBy(F.lower(F.trim("source")).alias("source"))
         wanted = wanted.agg(F.sum("target_share").alias("target"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
-        taking_part = documents.withColumn("_source", F.lower(F.trim("source"))).join(wanted.select(F.col("source").alias("_source")), "_source", "left_semi")
+        taking_part = spread(documents.select("doc_id", "text", "source")).withColumn("_source", F.lower(F.trim("source"))).join(F.broadcast(wanted.select(F.col("source").alias("_source"))), "_source", "left_semi")
         sizes = durable(token_sizes(taking_part.select("doc_id", "text", "source"), tokenizer).where("tokens > 0"))
         stock = sizes.groupBy("source").agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens"))
         rows = wanted.join(stock, "source", "left").orderBy("source").collect()  # as many as there are targets
@@ -158,7 +172,8 @@ class Mixture:
         places = [(s.name, j, at, per[i], period, before[at], taken[i]) for i, s in enumerate(present) for j, at in enumerate(k for k, x in enumerate(order) if x == i)]
         turns = spark.createDataFrame(places, "source string, turn int, at bigint, per int, period int, before array<bigint>, taken bigint")
         passes = [(s.name, p) for s, n in zip(present, taken) for p in range(min(s.max_repeats, n * block // s.tokens + 1))]
-        uses = sizes.join(spark.createDataFrame(passes, "source string, pass int"), "source")
+        # what is broadcast has as many rows as there are targets and passes, or slots in a period, or stretches of 20,000 records
+        uses = sizes.join(F.broadcast(spark.createDataFrame(passes, "source string, pass int")), "source")
 
         # sums over stretches of the order by hash first, so that no source is one task
         stretches = max(16, sum(s.records for s in present) // 20_000)
@@ -170,12 +185,31 @@ class Mixture:
         placed = uses.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(sums, ["source", "pass", "stretch"])
         placed = placed.withColumn("block", F.floor((F.col("ahead") + F.col("inside")) / block))
         per_source = spark.createDataFrame([(s.name, n) for s, n in zip(present, per)], "source string, own int")
-        placed = placed.join(per_source, "source").withColumn("turn", F.pmod(F.col("block"), F.col("own").cast("bigint")).cast("int"))
-        slotted = placed.join(turns, ["source", "turn"]).where("block < taken")
+        placed = placed.join(F.broadcast(per_source), "source").withColumn("turn", F.pmod(F.col("block"), F.col("own").cast("bigint")).cast("int"))
+        slotted = placed.join(F.broadcast(turns), ["source", "turn"]).where("block < taken")
         cycle = F.floor(F.col("block") / F.col("per"))
         slotted = slotted.withColumn("slot", sum((F.least(cycle * n + F.col("before")[i], F.lit(caps[i])) for i, n in enumerate(per)), F.lit(0)))
         self.selection = slotted.select(F.col("id").alias("doc_id"), "source", "pass", "tokens", F.col("block").cast("bigint").alias("block"), F.col("slot").cast("bigint").alias("slot"))
 
+    def checks(self) -> DataFrame:
+        """(source, target_share, max_repeats, repeats_kept, in_step) per target.
+
+        ``repeats_kept``: no record is used more often than allowed. ``in_step``: as long as no source is used up, the
+        source's k-th block of weight w stands between its release time floor((k - 1) / w) and its deadline ceil(k / w).
+        """
+        spark = self.selection.sparkSession
+        weights = [(s.name, s.parts, s.tokens * s.max_repeats) for s in self.sources if s.tokens]
+        period = sum(p for _, p, _ in weights)
+        known = F.broadcast(spark.createDataFrame(weights, "source string, parts bigint, most bigint"))
+        ends = self.selection.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("slot").alias("last")).join(known, "source").where("tokens = most")
+        until = F.broadcast(ends.agg(F.coalesce(F.min("last"), F.lit(2**62)).alias("until")))
+        kept = F.col("slot").between(F.expr(f"block * {period} div parts"), F.expr(f"((block + 1) * {period} + parts - 1) div parts - 1"))
+        steps = self.selection.join(known, "source").crossJoin(until).groupBy("source").agg(F.min(kept | (F.col("slot") > F.col("until"))).alias("in_step"))
+        uses = self.selection.groupBy("source", "doc_id").count().groupBy("source").agg(F.max("count").alias("most_uses"))
+        aim = spark.createDataFrame([(s.name, s.target, s.max_repeats) for s in self.sources], "source string, target_share double, max_repeats int")
+        out, yes = aim.join(uses, "source", "left").join(steps, "source", "left"), F.lit(True)
+        return out.select("source", "target_share", "max_repeats", F.coalesce(F.col("most_uses") <= F.col("max_repeats"), yes).alias("repeats_kept"), F.coalesce("in_step", yes).alias("in_step"))
+
     def shares(self) -> DataFrame:
         """(source, target_share, served_share, actual_share, tokens, uses, records, most_uses, max_repeats, used_up, shortfall) per target.
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from weftline.functions.codepoints import blocks, distinct_within, mix, strip_line_numbers, word_hashes
 from weftline.llm.positional import SPLIT, agreeing_pairs, rare_pairs
 from weftline.operators.components import components
-from weftline.sources.tables import durable
+from weftline.sources.tables import durable, spread
 
 POSITIONS = 16
 MISS = 1e-5
@@ -124,7 +124,7 @@ class NearDuplicates:
 
     def __init__(self, records: DataFrame, id: str, text: str, words: int = 5, threshold: float = 0.8, numbered: bool = False, exact: bool = False, crowded: int = 256):
         picked = records.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null")
-        sketch = durable(picked.mapInArrow(_sketches(words, POSITIONS, numbered), "id bigint, copy binary, sig array<bigint>, shingles binary"))
+        sketch = durable(spread(picked).mapInArrow(_sketches(words, POSITIONS, numbered), "id bigint, copy binary, sig array<bigint>, shingles binary"))
         first = sketch.groupBy("copy").agg(F.min("id").alias("rep"))
         self.classes = durable(sketch.select("id", "copy").join(first, "copy").select("id", "rep"))
         chosen = self.classes.where("id = rep").select("id")

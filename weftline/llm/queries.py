@@ -171,8 +171,13 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).shares()
 
 
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source, whether its records keep to their repeats and its blocks to their times."""
+    return _mixture(spark, folder).checks()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_facts": p5_facts, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_facts": p5_facts, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_checks": p7_checks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 _CLEAN = r"regexp_replace(documents, '(^|\n)[0-9]+: ', '\1', 'g')"
@@ -208,4 +213,5 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN pg ON dg.g = pg.g"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries it can state; the others are tested against brute force."""
-    return {"p1_found": _P1, "p3_found": _P3, "p4_found": f"SELECT row_id FROM project_files_hybrid WHERE length({_CLEAN}) > 1000", "p5_found": _P5, "p6_found": _P6}
+    checks = "SELECT lower(trim(source)) AS source, sum(target_share) AS target_share, max(coalesce(max_repeats, 1))::INT AS max_repeats, true AS repeats_kept, true AS in_step FROM mix_targets GROUP BY lower(trim(source))"
+    return {"p7_checks": checks, "p1_found": _P1, "p3_found": _P3, "p4_found": f"SELECT row_id FROM project_files_hybrid WHERE length({_CLEAN}) > 1000", "p5_found": _P5, "p6_found": _P6}

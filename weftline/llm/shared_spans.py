@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.codepoints import Block, blocks, span_hash, strip_line_numbers
-from weftline.sources.tables import durable
+from weftline.sources.tables import durable, spread
 
 _FIRST = "owner bigint, id bigint, phrase bigint, at int, more bigint"
 #: Windows of crowded phrases up to which Spark broadcasts them for their join.
@@ -320,7 +320,7 @@ def shared_spans(records: DataFrame, id: str, text: str, owner: Column, span: in
     """
     wanted = records.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(F.coalesce(owner, F.lit("\0"))).alias("owner"), F.col(text).alias("text"))
     wanted = wanted.where("text is not null and id is not null")
-    picked = durable(wanted.where(F.length("text") >= span).mapInArrow(_phrases(span, phrase, numbered), _FIRST))
+    picked = durable(spread(wanted).where(F.length("text") >= span).mapInArrow(_phrases(span, phrase, numbered), _FIRST))
     texts = picked.where("at < 0")
     groups = texts.groupBy("phrase", "more").agg(F.min("id").alias("rep"), F.min("owner").alias("lo"), F.max("owner").alias("hi"), (-F.min("at")).alias("length"))
     many = F.col("lo") != F.col("hi")

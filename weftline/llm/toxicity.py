@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.codepoints import Block, blocks, mix, span_hash, word_hashes, word_table
-from weftline.sources.tables import durable
+from weftline.sources.tables import durable, spread
 
 ROUNDS, SHARPENINGS = 3, 2
 #: Weight of the prior, in words, and of the even part of it.
@@ -442,7 +442,7 @@ def judged(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = 20000) -> Weights:
     """Weights of words fitted on at most about ``most`` judged documents, with priors and calibration from the whole corpus."""
-    texts = documents.select("doc_id", "text")
+    texts = spread(documents.select("doc_id", "text"))
     sample = durable(judged(texts, labels, most))
     form = "half int, word string, toxic double, clean double"
 
@@ -509,7 +509,7 @@ def toxic_scores(documents: DataFrame, weights: Weights) -> DataFrame:
     chance; ``toxic``: whether it reaches the cut; ``passages``: the significant ones, in lower case and with spelling
     tricks undone. Null, empty and blank texts score 0. Rows are scored each for itself.
     """
-    picked = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    picked = spread(documents.select(F.col("doc_id").cast("bigint").alias("id"), "text")).withColumn("text", F.coalesce("text", F.lit("")))
     out = picked.mapInArrow(_scan([weights], False), "id bigint, score double, n bigint, passages array<string>")
     power = -(F.log(F.lit(weights.volume) * F.greatest("n", F.lit(1))) - F.col("score") * weights.rate) / float(np.log(10))
     sure = (F.col("score") > 0) & (power >= weights.cut)
