@@ -60,6 +60,13 @@ def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("id").alias("row_id"), F.col("text").alias("documents"), "hidden")
 
 
+def p2_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What hiding must leave as it is: every chunk's length, its lines and their numbers."""
+    out = p2_redacted(spark, folder).select("row_id", F.col("documents").alias("d"))
+    numbers = F.array_join(F.regexp_extract_all("d", F.lit("(?:^|\n)([0-9]+): "), F.lit(1)), ",")
+    return out.select("row_id", F.length("d").cast("bigint").alias("n_chars"), F.size(F.split("d", "\n", -1)).cast("bigint").alias("n_lines"), F.md5(numbers.cast("binary")).alias("numbers_md5")).where("n_chars is not null")
+
+
 def _near(spark: SparkSession, folder: str) -> NearDuplicates:
     return NearDuplicates(table(spark, folder, "project_files_hybrid"), "row_id", "documents", words=3, threshold=0.7, numbered=True)
 
@@ -92,6 +99,20 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("row_id", "path", "chunk_index", (F.col("chunk_index") + F.col("shift") + F.col("piece_no")).cast("bigint").alias("new_index"), "piece_no", "n_pieces", "piece")
 
 
+def p4_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk's text put together again from its pieces, by hash, and whether all pieces keep to the limits."""
+    cut = pieces(table(spark, folder, "project_files_hybrid"), "row_id", "documents", limit=1000, overlap=100, numbered=True)
+    parts = F.array_sort(F.collect_list(F.struct("begin", "end", "piece")))
+    before = F.col("parts")[F.col("k") - 1]["end"]
+    each = cut.groupBy("id").agg(parts.alias("parts")).select("id", "parts", F.posexplode("parts").alias("k", "part"))
+    again = F.when(F.col("k") == 0, 0).otherwise(before - F.col("part.begin"))
+    each = each.select("id", "k", F.expr("part.piece").alias("piece"), again.alias("again"))
+    own = F.expr("substring(piece, again + 1)")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", own.alias("own")))), lambda x: x["own"]), "")
+    fits = (F.length("piece") <= 1000) & F.col("again").between(0, 100)
+    return each.groupBy(F.col("id").alias("row_id")).agg(F.md5(whole.cast("binary")).alias("text_md5"), F.min(fits).alias("fits"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Facts to reject."""
     return fact_history.rejected(table(spark, folder, "agent_memory"), "mem_id", "content", "batch_no").select(F.col("id").alias("mem_id"))
@@ -177,7 +198,7 @@ def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_facts": p5_facts, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_checks": p7_checks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p1_shared": p1_shared, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_checks": p2_checks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_checks": p4_checks, "p5_found": p5_found, "p5_facts": p5_facts, "p5_batches": p5_batches, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_checks": p7_checks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 _CLEAN = r"regexp_replace(documents, '(^|\n)[0-9]+: ', '\1', 'g')"
@@ -211,7 +232,28 @@ dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 11), ' ') AS
 SELECT DISTINCT doc_id, item_id FROM dg JOIN pg ON dg.g = pg.g"""
 
 
+_P2_CHECKS = r"""SELECT row_id, length(documents)::BIGINT AS n_chars, len(string_split(documents, chr(10)))::BIGINT AS n_lines, md5(array_to_string(regexp_extract_all(documents, '(?:^|\n)([0-9]+): ', 1), ',')) AS numbers_md5
+FROM project_files_hybrid WHERE documents IS NOT NULL"""
+
+_P3_GROUPS = f"""WITH RECURSIVE t AS (SELECT row_id, {_WORDS.replace('X', _CLEAN)} AS w FROM project_files_hybrid WHERE documents IS NOT NULL),
+u AS (SELECT row_id, w, min(row_id) OVER (PARTITION BY w) AS rep FROM t WHERE len(w) >= 3),
+p AS ({_P3}),
+l AS (SELECT row_id_a AS a, row_id_b AS b FROM p WHERE row_id_a IN (SELECT rep FROM u) AND row_id_b IN (SELECT rep FROM u)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(x, y) AS (SELECT DISTINCT rep, rep FROM u UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
+SELECT u.row_id, (SELECT min(y) FROM r WHERE x = u.rep) AS "group", (SELECT count(*) FROM e WHERE a = u.rep) AS links FROM u"""
+
+_P5_FACTS = f"""SELECT mem_id, batch_no, mem_id NOT IN (SELECT mem_id FROM ({_P5})) AS accepted FROM agent_memory"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries it can state; the others are tested against brute force."""
     checks = "SELECT lower(trim(source)) AS source, sum(target_share) AS target_share, max(coalesce(max_repeats, 1))::INT AS max_repeats, true AS repeats_kept, true AS in_step FROM mix_targets GROUP BY lower(trim(source))"
-    return {"p7_checks": checks, "p1_found": _P1, "p3_found": _P3, "p4_found": f"SELECT row_id FROM project_files_hybrid WHERE length({_CLEAN}) > 1000", "p5_found": _P5, "p6_found": _P6}
+    more = {
+        "p2_checks": _P2_CHECKS,
+        "p3_groups": _P3_GROUPS,
+        "p4_checks": f"SELECT row_id, md5({_CLEAN}) AS text_md5, true AS fits FROM project_files_hybrid WHERE documents IS NOT NULL",
+        "p5_facts": _P5_FACTS,
+        "p5_batches": f"SELECT batch_no, sum(accepted::INT)::BIGINT AS accepted, sum((NOT accepted)::INT)::BIGINT AS rejected FROM ({_P5_FACTS}) GROUP BY batch_no",
+    }
+    return more | {"p7_checks": checks, "p1_found": _P1, "p3_found": _P3, "p4_found": f"SELECT row_id FROM project_files_hybrid WHERE length({_CLEAN}) > 1000", "p5_found": _P5, "p6_found": _P6}
