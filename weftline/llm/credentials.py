@@ -399,6 +399,7 @@ def _scan(numbered: bool):
     # on texts in lower case, as matching without regard to case can't use the first letters
     compiled = {k: re.compile(p, re.MULTILINE) for k, p in RULES.items()}
     loose = re.compile(r"(?m)^(?:[0-9]+: )?[ \t]*[A-Za-z0-9+/]{40,}={0,2}[\"']{0,3}\r?$")
+    marked = re.compile(r"-----(?:BEGIN|END) |PuTTY|Private-")
     letters = np.zeros(128, dtype=bool)
     letters[[ord(x) for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]] = True
     trees = {k: required(p) for k, p in {**RULES, **CHECKS}.items()}
@@ -423,6 +424,9 @@ def _scan(numbered: bool):
                 for rule, tree in trees.items():
                     for t in segment.texts(tree).tolist():
                         rules[t].add(rule)
+                for i, some in zip(at.tolist(), rules):
+                    if "private_key" in some and not marked.search(texts[i]):
+                        some.remove("private_key")
                 for t in segment.texts_with_run(letters, 40).tolist():
                     if loose.search(texts[at[t]]):
                         rules[t].add("private_key")
