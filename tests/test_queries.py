@@ -29,7 +29,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns[:2] == ["query_id", "id"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(n for plans in entry._PLANS for n in plans.queries))
 def test_query(spark, duck, name):
     found = entry.queries()[name](spark, FOLDER)
     rows = [tuple(r) for r in found.collect()]

@@ -25,6 +25,13 @@ def quality(ranks: DataFrame) -> DataFrame:
     )
 
 
+def deltas(qualities: DataFrame, against: str = "vector") -> DataFrame:
+    """(mode, hit_rate_delta, mrr_delta): what each other mode gains over one."""
+    base = qualities.where(F.col("mode") == against).select(F.col("hit_rate").alias("h"), F.col("mrr").alias("m"))
+    others = qualities.where(F.col("mode") != against).crossJoin(F.broadcast(base))
+    return others.select("mode", F.round(F.col("hit_rate") - F.col("h"), 9).alias("hit_rate_delta"), F.round(F.col("mrr") - F.col("m"), 9).alias("mrr_delta"))
+
+
 def misses(ranks: DataFrame) -> DataFrame:
     return ranks.where("rank is null").select("mode", "query_id")
 

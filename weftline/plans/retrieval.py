@@ -11,7 +11,7 @@ from weftline.functions.text import TOKEN
 from weftline.operators import evaluate, hybrid, lexical, render, vector
 from weftline.operators.providers import embedded
 from weftline.plans.base import Plans
-from weftline.sources.tables import durable, table
+from weftline.sources.tables import durable, spread, table
 
 PLANS = Plans()
 N = 5
@@ -285,12 +285,35 @@ def hit_at_k_mrr(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.quality(_ranks(spark, folder))
 
 
+@PLANS.query(
+    _RANKS
+    + """, qu AS (SELECT mode, avg((rank IS NOT NULL)::INT::DOUBLE) AS h, avg(coalesce(1.0 / rank, 0)) AS m FROM ranks GROUP BY mode)
+SELECT q.mode, round(round(q.h, 9) - round(v.h, 9), 9) AS hit_rate_delta, round(round(q.m, 9) - round(v.m, 9), 9) AS mrr_delta FROM qu q CROSS JOIN qu v WHERE v.mode = 'vector' AND q.mode <> 'vector'"""
+)
+def mode_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.deltas(evaluate.quality(_ranks(spark, folder)))
+
+
 @PLANS.query(_RANKS + "SELECT mode, query_id FROM ranks WHERE rank IS NULL")
 def eval_misses(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.misses(_ranks(spark, folder))
 
 
+def _embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of the chunks' texts without line numbers."""
+    clean = F.regexp_replace("documents", "(^|\n)[0-9]+: ", "$1")
+    return embedded(spread(_chunks(spark, folder).select("row_id", "documents")), clean, prefix="search_document")
+
+
 @PLANS.query()
 def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    rows = embedded(_chunks(spark, folder).select("row_id", "documents"), F.col("documents"), prefix="search_document")
-    return rows.select("row_id", "embedding", "embedding_kind")
+    return _embedded_chunks(spark, folder).select("row_id", "embedding", "embedding_kind")
+
+
+@PLANS.query()
+def hybrid_own_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search in which both rankings are of the same chunks, by their own vectors and the questions'."""
+    asked = embedded(_questions(spark, folder).where("query is not null"), F.col("query"), prefix="search_query")
+    near = vector.nearest(_embedded_chunks(spark, folder), "row_id", "embedding", asked, "item_id", "embedding", POOL)
+    found = hybrid.ranked(hybrid.fuse(durable(near), durable(_lexical_pool(spark, folder))), _details(spark, folder), N)
+    return _whole(found.select("query_id", "id", "path", "vector_rank", "bm25_rank", "score", "position"), "vector_rank", "bm25_rank", "position")
