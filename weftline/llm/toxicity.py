@@ -34,6 +34,8 @@ from weftline.sources.tables import durable, spread
 ROUNDS, SHARPENINGS = 3, 2
 #: Weight of the prior, in words, and of the even part of it.
 PRIOR, EVEN = 200.0, 2.0
+#: Words of a judged document's best passage that the fit looks at; with ``most`` it bounds what the fit holds. Scores have no such bound.
+PASSAGE = 200
 #: Score from which a passage is taken as a sign, and how often one in a clean text is counted more than other text.
 CLEAR, MISLEADING = 4.0, 20
 _WORD = re.compile(r"\w+")
@@ -157,13 +159,13 @@ def undisguised(texts: list[str], weights: Weights) -> list[str]:
         return a if a in words else b if b in words else a if sum("a" <= c <= "z" for c in w) * 2 > len(w) else b
 
     def leet(w: str) -> str:
-        if len(w) > 20 or not any(c.isalpha() for c in w):
+        if not any(c.isalpha() for c in w):
             return w
         return next((v for v in (w.translate(_LEET), w.translate(_LEET_I), w.translate(_LEET).translate(_TO_CYRILLIC)) if words.get(v, 0) > 0), w)
 
     def masked(w: str) -> str:
         shown = sum(c not in "*#" for c in w)
-        if shown < 2 or shown == len(w) or len(w) > 30:
+        if shown < 2 or shown == len(w):
             return w
         shape = re.compile("".join("." if c in "*#" else re.escape(c) for c in w))
         keys = [(len(w), w[0])] if w[0] not in "*#" else [k for k in weights.toxic if k[0] == len(w)]
@@ -252,8 +254,7 @@ def _word_counts(weights: Weights | None):
                 else:
                     words = list(set(words))
                 for x in words:
-                    if len(x) <= 40:
-                        counts.setdefault((half, x), [0.0, 0.0])[0 if toxic else 1] += 1
+                    counts.setdefault((half, x), [0.0, 0.0])[0 if toxic else 1] += 1
         keys = list(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), pa.array([counts[k][0] for k in keys]), pa.array([counts[k][1] for k in keys])], schema=schema
@@ -347,10 +348,10 @@ def _best_passages(weights: list[Weights]):
             toxics, halves, texts = (c.to_pylist() for c in batch.columns)
             for toxic, half, t in zip(toxics, halves, _by_halves(texts, halves, weights)):
                 w = weights[half]
-                words = [x[:40] for x in _WORD.findall(t)]
+                words = _WORD.findall(t)
                 best, b, e = _best(np.array([w.words.get(x, w.other) for x in words]))
                 if best >= CLEAR:
-                    for column, value in zip(out, (half, float(toxic), words[b:e][:200])):
+                    for column, value in zip(out, (half, float(toxic), words[b:e][:PASSAGE])):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
