@@ -40,6 +40,18 @@ def test_empty_corpus(spark):
     assert lexical.corpus_stats(docs, "id", "text").first()["avg_len"] == 0
 
 
+def test_a_kept_index_finds_what_a_pass_finds(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} shared {'often ' * (i % 4)}") for i in range(60)] + [(60, None), (61, "")], "id int, text string")
+    asked = spark.createDataFrame([(1, "word3 often"), (2, "shared shared"), (3, None), (4, "absent")], "q int, query string")
+    plain = sorted(lexical.search(docs, "id", "text", asked, "q", "query", 5).collect())
+    index = lexical.LexicalIndex(docs, "id", "text")
+    assert plain and index.sizes[0] == 62
+    for terms in (0, 1, 1000):
+        assert sorted(index.search(asked, "q", "query", 5, terms).collect()) == plain
+    for empty in (docs.where("id < 0"), docs.where("id >= 60")):
+        assert lexical.LexicalIndex(empty, "id", "text").search(asked, "q", "query").count() == 0
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (4, [0.0, 0.0]), (5, None)], "id int, v array<float>")
     asked = rows.where("id = 1").select("id", "v")

@@ -41,10 +41,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 @lru_cache(1)
 def word_table() -> np.ndarray:
     """True at each code point that may stand in a word: letters, digits, underscore."""
+    signs = np.concatenate((np.arange(0xD800, dtype=np.uint32), np.arange(0xE000, 0x110000, dtype=np.uint32)))
     t = np.zeros(0x110000, dtype=bool)
-    for m in re.finditer(r"\w+", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))):
-        for c in m.group():
-            t[ord(c)] = True
+    for m in re.finditer(r"\w+", signs.tobytes().decode("utf-32-le")):
+        t[signs[m.start() : m.end()]] = True
     return t
 
 

@@ -22,6 +22,8 @@ from weftline.functions.text import TOKEN, tokens
 from weftline.sources.tables import durable, spread, stamp, table
 
 B = 0.75
+#: Distinct terms of a query set up to which they are named to the scan of an index, which then skips pages without them; beyond it a join alone picks them.
+TERMS = 1000
 
 
 def length(text: Column) -> Column:
@@ -114,17 +116,22 @@ def _asked(queries: DataFrame, query_id: str, query: str) -> DataFrame:
     return asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def _scored(found: DataFrame, asked: DataFrame) -> DataFrame:
+def _sizes(found: DataFrame) -> tuple[int, float]:
+    """The number of texts and their mean length."""
+    n, mean = found.where("term is null").agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    return n, mean
+
+
+def _scored(found: DataFrame, asked: DataFrame, n: int, mean: float) -> DataFrame:
     """Scores from a table of counted terms, rounded to nine digits.
 
     Document frequencies are counted for the queries' terms only, so they are as few as those; Spark broadcasts them and the queries
     where they are small by its own measure.
     """
-    stats = found.where("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     hits = found.where("term is not null").join(asked.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
-    weighted = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("weight"), "avgdl")
-    part = F.col("weight") * (F.col("tf") / (1 + B * (F.col("dl") / F.col("avgdl") - 1))) * (1 + B * F.col("tf") / (F.col("tf") + 1))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf(F.lit(n), F.col("df"))).alias("weight"))
+    part = F.col("weight") * (F.col("tf") / (1 + B * (F.col("dl") / F.lit(mean) - 1))) * (1 + B * F.col("tf") / (F.col("tf") + 1))
     return hits.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
@@ -135,18 +142,27 @@ def scores(texts: DataFrame, id: str, text: str, queries: DataFrame, query_id: s
     """
     asked = durable(_asked(queries, query_id, query))
     terms = [r["term"] for r in asked.select("term").distinct().collect()]
-    return _scored(durable(counted(texts, id, text, terms)), asked)
+    found = durable(counted(texts, id, text, terms))
+    return _scored(found, asked, *_sizes(found))
 
 
 class LexicalIndex:
-    """The counted terms of all texts, kept in the shared folder."""
+    """The counted terms of all texts, kept in the shared folder, with the number of texts and their mean length.
 
-    def __init__(self, texts: DataFrame, id: str, text: str):
-        self.terms = durable(counted(texts, id, text))
+    Each file of it holds the terms of its own texts in order. So building it moves no rows between tasks, no term is
+    too common for one of them, and a search reads of each file the pages with its terms.
+    """
 
-    def search(self, queries: DataFrame, query_id: str, query: str, n: int = 10) -> DataFrame:
-        """(query_id, id, score, rank), as ``search``."""
-        return best(_scored(self.terms, durable(_asked(queries, query_id, query))).where("score > 0"), n)
+    def __init__(self, texts: DataFrame, id: str, text: str):
+        self.terms = durable(counted(texts, id, text).sortWithinPartitions("term"))
+        self.sizes = _sizes(self.terms)
+
+    def search(self, queries: DataFrame, query_id: str, query: str, n: int = 10, terms: int = TERMS) -> DataFrame:
+        """(query_id, id, score, rank), as ``search``. ``terms`` changes what is read, not the result."""
+        asked = durable(_asked(queries, query_id, query))
+        named = [r["term"] for r in asked.select("term").distinct().limit(terms + 1).collect()]
+        found = self.terms.where(F.col("term").isin(named)) if len(named) <= terms else self.terms
+        return best(_scored(found, asked, *self.sizes).where("score > 0"), n)
 
 
 _kept: dict[tuple[str, str, str, str], tuple[str, LexicalIndex]] = {}
