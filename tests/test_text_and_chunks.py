@@ -75,14 +75,14 @@ def test_text_expressions(spark):
 
 
 def test_trimming(spark):
-    long = "\n".join(f"{i}: строка кода номер {i}" for i in range(1, 200))
-    df = spark.createDataFrame([(long,), ("1: коротко",), ("x" * 900,), ("",), (None,)], "t string")
+    long = "\n".join(f"{i}: Zeile über {'Maß ' * (i % 5)}🧵" for i in range(1, 90))
+    df = spark.createDataFrame([(long,), ("7: ширина",), ("x" * 900,), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(whole_lines(F.col("t"), 300)).collect()]
     assert len(got[0]) < 400 and got[0].endswith("... [cut]")
     assert all(line.split(":")[0].isdigit() for line in got[0].split("\n")[:-1])
-    assert got[1:] == ["1: коротко", "x" * 300, "", None]
+    assert got[1:] == ["7: ширина", "x" * 300, "", None]
     cut = [r[0] for r in df.select(cut_to(F.col("t"), 10)).collect()]
-    assert cut[1] == "1: коротко" and cut[2] == "x" * 10 + "\n... [cut]" and cut[4] is None
+    assert cut[1] == "7: ширина" and cut[2] == "x" * 10 + "\n... [cut]" and cut[4] is None
 
 
 def test_blocks_hash_words_wherever_they_stand():
