@@ -195,15 +195,15 @@ FACTS = "mem_id bigint, content string, batch_no int, sigs string"
 
 def test_facts(spark):
     rows = fact_rows()
-    found = fact_history.rejected(spark.createDataFrame(rows, FACTS), "mem_id", "content", "batch_no", at_once=2)
+    found = fact_history.rejected(spark.createDataFrame(rows, FACTS), "mem_id", "content", "batch_no", growth=2)
     assert sorted(r["id"] for r in found.collect()) == greedy(rows)
     assert fact_history.rejected(spark.createDataFrame([], FACTS), "mem_id", "content", "batch_no").count() == 0
 
 
-@pytest.mark.parametrize(("held", "few"), [(10**6, 10**6), (1, 1)])
-def test_batches_one_by_one(spark, tmp_path, held, few):
+@pytest.mark.parametrize(("held", "few", "crowd"), [(10**6, 10**6, 10**6), (1, 1, 0)])
+def test_batches_one_by_one(spark, tmp_path, held, few, crowd):
     rows = [x for x in fact_rows() if x[2] is not None]
-    history = fact_history.FactHistory(spark, f"file://{tmp_path}", held, few)
+    history = fact_history.FactHistory(spark, f"file://{tmp_path}", held, few, crowd)
     out = []
     for b in range(1, 6):
         batch = spark.createDataFrame([x for x in rows if x[2] == b], FACTS)
@@ -211,6 +211,33 @@ def test_batches_one_by_one(spark, tmp_path, held, few):
     assert sorted(out) == greedy(rows)
 
 
+def test_near_small_sets_share_first_words():
+    """Whatever the order, near sets have as many of their first words in common as are joined on."""
+    r = random.Random(11)
+    for n in range(1, fact_history.SMALL + 1):
+        for m in range(-(-4 * n // 5), n + 1):
+            common = -(-4 * (n + m) // 9)
+            for _ in range(30):
+                order = r.sample(range(100), 100)
+                x, y = (sorted((*range(common), *own), key=order.__getitem__) for own in (range(40, 40 + n - common), range(70, 70 + m - common)))
+                (a, joint), (b, again) = fact_history.first_words(n, m), fact_history.first_words(m, n)
+                assert joint == again and len(set(x[:a]) & set(y[:b])) >= joint
+
+
+def test_facts_of_one_template_meet_few(spark, tmp_path):
+    """Facts that differ in two words of eleven are no near pairs, and hardly any words are read for them; those that differ in one are rejected in turn."""
+    rows = [(i, f"always keep the report of {words(i, 1)[0]}{i} beside folder number w{i * 7} please", 1 + i % 3, "") for i in range(600)]
+    rows += [(1000 + i, f"please remember that the key of the store room number {i} hangs there", 1 + i % 3, "") for i in range(300)]
+    history = fact_history.FactHistory(spark, f"file://{tmp_path}", crowd=2000)
+    met, out = [], []
+    for b in (1, 2, 3):
+        batch = spark.createDataFrame([x for x in rows if x[2] == b], FACTS)
+        out += [r["id"] for r in history.add(batch, "mem_id", "content", "batch_no").where("not accepted").collect()]
+        met.append(history.met)
+    assert sorted(out) == [1000 + i for i in range(1, 300)] == greedy(rows)
+    assert max(met) < 1000
+
+
 def test_near_sets_share_a_key():
     """Any choice of as many classes as must agree has two in one group."""
     for n in range(1, 300):
