@@ -311,9 +311,10 @@ class FactHistory:
         while True:
             turn = F.struct("batch", "id")
             keyed = mine.select("id", "batch", turn.alias("turn"), F.explode("keys").alias("k")).select("id", "batch", "turn", "k.block", "k.key")
-            first = durable(keyed.groupBy("block", "key").agg(F.min("turn").alias("first"), F.count("*").alias("c")))
-            if (first.agg(F.sum(F.expr("c * (c - 1) div 2"))).first()[0] or 0) <= self.crowd:
+            shared = keyed.groupBy("block", "key").count().agg(F.sum(F.expr("count * (count - 1) div 2")))
+            if facts * (facts - 1) // 2 <= self.crowd or (shared.first()[0] or 0) <= self.crowd:
                 return mine, out
+            first = durable(keyed.groupBy("block", "key").agg(F.min("turn").alias("first")))
             met = durable(keyed.join(first, ["block", "key"]).select(F.col("first.id").alias("early"), F.col("id").alias("late"), F.col("batch").alias("turn")).distinct())
             sure = durable(met.groupBy("late").agg(F.bool_and(F.col("early") == F.col("late")).alias("is_sure")).where("is_sure").select(F.col("late").alias("id")))
             pairs = durable(met.where("early <> late").join(sure.withColumnRenamed("id", "early"), "early", "left_semi"))
@@ -336,8 +337,7 @@ class FactHistory:
             links, count = self._links(old.where(F.col("n").between(low * 4 // 5, high * 5 // 4)), mine, facts, F.lit(True))
             if count:
                 out.append(durable(links.select(F.col("late").alias("id")).distinct()))
-                mine = durable(mine.join(out[0], "id", "left_anti"))
-                facts = mine.count()
+                mine, facts = mine.join(out[0], "id", "left_anti"), facts - out[0].count()
         mine, thinned = self._thinned(mine, facts)
         out += [] if thinned is None else [thinned]
         links, count = self._links(mine, mine, facts, F.expr("struct(batch_early, id_early) < struct(batch_late, id_late)"))
